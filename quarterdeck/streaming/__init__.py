@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The workload is a nightly batch over landed tables: there is no stream source, no
+watermark and no long-lived state to keep.  Freshness ("is a newer filing out?") is
+answered by a batch join in ``plans.freshness``.
+"""

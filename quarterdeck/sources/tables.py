@@ -179,16 +179,15 @@ def submissions_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 # --- raw filings ------------------------------------------------------------
 
-def _item(tag, val, *, start=None, end="end", filed="filed_first", unit="USD", unit_pos=0,
-          place=0, accn="accn_first", when="true") -> str:
-    """One filed number as SQL; ``when`` says for which supplier quarters it exists."""
-    return (f"CASE WHEN {when} THEN named_struct('tag', '{tag}', 'unit', '{unit}', "
-            f"'unit_pos', {unit_pos}, 'ordinal', CAST(qi * 10 + {place} AS INT), "
-            f"'start', CAST({start or 'NULL'} AS DATE), 'end', {end}, "
-            f"'val', CAST({val} AS DOUBLE), 'filed', {filed}, 'accn', {accn}) END")
+def _item(tag, val, *, start="NULL", end="pe", filed="filed_first", unit="USD", unit_pos=0,
+          place=0, accn="accn_first", when="true") -> dict[str, str]:
+    """One filed number; the expressions are plain SQL over a supplier quarter."""
+    return {"when": when, "tag": f"'{tag}'", "unit": f"'{unit}'", "unit_pos": str(unit_pos),
+            "ordinal": f"CAST(qi * 10 + {place} AS INT)", "start": f"CAST({start} AS DATE)",
+            "pe": end, "val": f"CAST({val} AS DOUBLE)", "filed": filed, "accn": accn}
 
 
-def _quarter_or_ladder(tag: str, value: str, running: str, when: str) -> list[str]:
+def _quarter_or_ladder(tag: str, value: str, running: str, when: str) -> list[dict[str, str]]:
     """Even suppliers file year-to-date ladders, odd ones three quarters and a year.
 
     Every number is filed again a year later, a quarter of them with another value.
@@ -198,7 +197,7 @@ def _quarter_or_ladder(tag: str, value: str, running: str, when: str) -> list[st
     out = []
     for place, filed, accn, shift in ((0, "filed_first", "accn_first", "0"),
                                       (1, "filed_again", "accn_again",
-                                       "IF((s + qi) % 4 = 0, 10000, 0)")):
+                                       "CASE WHEN (s + qi) % 4 = 0 THEN 10000 ELSE 0 END")):
         common = dict(filed=filed, accn=accn, place=place)
         out += [
             _item(tag, f"{running} + {shift}", start="year_start", when=even, **common),
@@ -208,15 +207,16 @@ def _quarter_or_ladder(tag: str, value: str, running: str, when: str) -> list[st
     return out
 
 
-def _raw_items() -> list[str]:
+def raw_items() -> list[dict[str, str]]:
     q = dict(start="quarter_start")
     y = dict(start="year_start", when="q = 4")
     shares = "qty * 1000"
     wrong_scale = "s % 9 = 4 AND qi % 13 = 5"
     too_large = "s % 11 = 3 AND qi % 10 = 7"
-    basis = "IF(split_day IS NOT NULL AND {filed} < split_day, 500, 1000)"
-    filed_shares = (f"qty * {basis.format(filed='filed_first')} * IF({too_large}, 1000, 1) "
-                    f"/ IF({wrong_scale}, 1000, 1)")
+    basis = "CASE WHEN split_day IS NOT NULL AND {filed} < split_day THEN 500 ELSE 1000 END"
+    filed_shares = (f"qty * {basis.format(filed='filed_first')} "
+                    f"* CASE WHEN {too_large} THEN 1000 ELSE 1 END "
+                    f"/ CASE WHEN {wrong_scale} THEN 1000 ELSE 1 END")
     diluted = "WeightedAverageNumberOfDilutedSharesOutstanding"
     income = "accepted * 2 - returned"
     return [
@@ -236,26 +236,26 @@ def _raw_items() -> list[str]:
         _item("CommonStockSharesOutstanding", f"{shares} + 11 * qty", unit="shares",
               when="s % 10 <> 0"),
         _item("NetIncomeLoss", income, **q),
-        _item("EarningsPerShareDiluted", f"({income}) / (qty * 1000.0D)", unit="USD/shares",
+        _item("EarningsPerShareDiluted", f"({income}) / (qty * 1000)", unit="USD/shares",
               when="s % 4 <> 1", **q),
         _item("EarningsPerShareDiluted", f"({income}) / ({filed_shares})", unit="USD/shares",
               when="s % 4 = 1", **q),
         _item("StockholdersEquity", "net - returned"),
-        _item("StockholdersEquity", "net - returned + 3", place=1, filed="date_sub(filed_first, 5)",
+        _item("StockholdersEquity", "net - returned + 3", place=1, filed="filed_first - 5",
               when="s % 7 = 0", **q),
         _item("StockholdersEquity", "net - returned + 5", place=2, filed="filed_again",
               accn="accn_again", when="s % 7 = 0 AND qi % 2 = 0"),
         _item("StockholdersEquity", "net - returned + 9", place=3, filed="filed_again",
-              accn="accn_again", start="date_sub(quarter_start, 275)", when="s % 7 = 0 AND qi % 3 = 0"),
+              accn="accn_again", start="quarter_start - 275", when="s % 7 = 0 AND qi % 3 = 0"),
         _item("Goodwill", "disc * 4", unit="EUR"),
         _item("Goodwill", "disc * 3", unit="USD", unit_pos=1, when="s % 2 = 0"),
         _item("PaymentsForRepurchaseOfCommonStock", "returned", when="s % 3 <> 0", **q),
         _item("PaymentsForRepurchaseOfCommonStock", "returned_ytd", **{**y, "when": "q = 4 AND s % 3 = 0"}),
         _item("OperatingIncomeLoss", "net - returned * 2", **q),
-        _item("OperatingIncomeLoss", "net - returned * 2 + 1", place=1, start="date_sub(quarter_start, 2)",
-              end="date_sub(end, 2)", when="s % 5 = 1"),
-        _item("OperatingIncomeLoss", "net + 2", place=2, start="date_sub(quarter_start, 28)",
-              end="date_sub(end, 28)", when="s % 5 = 2 AND qi % 9 = 0"),
+        _item("OperatingIncomeLoss", "net - returned * 2 + 1", place=1, start="quarter_start - 2",
+              end="pe - 2", when="s % 5 = 1"),
+        _item("OperatingIncomeLoss", "net + 2", place=2, start="quarter_start - 28",
+              end="pe - 28", when="s % 5 = 2 AND qi % 9 = 0"),
         _item("NetCashProvidedByUsedInOperatingActivities", "accepted", **q),
         _item("PaymentsToAcquirePropertyPlantAndEquipment", "tax * IF(qi % 11 = 0, -1, 1)", **q),
     ]
@@ -265,23 +265,31 @@ def raw_filings_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Filing facts per supplier: ladders, restatements, several tags, units and scales."""
     split = (lineitem.filter((F.year("l_shipdate") == 1998) & (F.col("l_suppkey") % 10 == 0))
              .groupBy("l_suppkey").agg(F.min(F.col("l_shipdate").cast("date")).alias("split_day")))
-    running = Window.partitionBy("l_suppkey", "year").orderBy("end").rowsBetween(
+    running = Window.partitionBy("s", "year").orderBy("pe").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    base = quarter_sums(lineitem).withColumns({
-        "year": F.year("end"), "q": F.quarter("end"), "qi": quarter_index("end"),
-        "s": F.col("l_suppkey")})
+    base = quarter_sums(lineitem).withColumnsRenamed({"l_suppkey": "s", "end": "pe"}).withColumns({
+        "year": F.year("pe"), "q": F.quarter("pe"), "qi": quarter_index("pe")})
     base = base.withColumns({
         "net_ytd": F.sum("net").over(running), "returned_ytd": F.sum("returned").over(running),
-        "year_start": F.expr("trunc(end, 'year')"), "quarter_start": F.expr("trunc(end, 'quarter')"),
-        "filed_first": F.date_add("end", 35), "filed_again": F.date_add("end", 400),
+        "year_start": F.trunc("pe", "year"), "quarter_start": F.trunc("pe", "quarter"),
+        "filed_first": F.date_add("pe", 35), "filed_again": F.date_add("pe", 400),
         "accn_first": F.expr("concat('A', s, '-', qi)"),
         "accn_again": F.expr("concat('A', s, '-', qi + 4)"),
-    }).join(split, "l_suppkey", "left")
-    items = ", ".join(_raw_items())
-    rows = base.select(ticker_of("l_suppkey").alias("ticker"), "q", "year",
-                       F.expr(f"inline(array({items}))")).filter("tag IS NOT NULL")
+    }).join(split.withColumnRenamed("l_suppkey", "s"), "s", "left")
+    fields = [n for n in raw_items()[0] if n != "when"]
+    structs = ", ".join(
+        "CASE WHEN {} THEN named_struct({}) END".format(
+            item["when"], ", ".join(f"'{n}', {item[n]}" for n in fields)) for item in raw_items())
+    rows = base.select(ticker_of("s").alias("ticker"), "q", "year",
+                       F.expr(f"inline(array({structs}))")).filter("tag IS NOT NULL")
     return rows.select(
-        "ticker", "tag", "unit", "unit_pos", "ordinal", "start", F.col("end"), "val", "filed",
-        F.when(F.col("q") == 4, "FY").otherwise(F.concat(F.lit("Q"), F.col("q"))).alias("fp"),
+        "ticker", "tag", "unit", "unit_pos", "ordinal", "start", F.col("pe").alias("end"), "val",
+        "filed", F.when(F.col("q") == 4, "FY").otherwise(F.concat(F.lit("Q"), F.col("q"))).alias("fp"),
         F.col("year").alias("fy"),
         F.when(F.col("q") == 4, "10-K").otherwise("10-Q").alias("form"), "accn")
+
+
+def known_bad_from_filings(raw: DataFrame) -> DataFrame:
+    """A correction table for tests: some goodwill facts of a few suppliers."""
+    return raw.filter((F.col("tag") == "Goodwill") & (F.col("ordinal") % 50 == 0)).select(
+        "ticker", "tag", "end", "filed", "val")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import cached_property
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -20,6 +21,7 @@ from quarterdeck.operators import asof, filing_periods, periods, ratios, reshape
 from quarterdeck.operators import share_basis, timeseries as ts, visibility
 from quarterdeck.plans import coverage, derived, facts as facts_plan, freshness, metrics
 from quarterdeck.plans import snapshot, valuation, views, wide as wide_plan
+from quarterdeck.session import cut_lineage
 from quarterdeck.sources import filings, prices, published
 from quarterdeck.sources import tables as T
 
@@ -34,7 +36,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 class Data:
-    """The given tables read as fundamentals inputs; every frame is built on demand."""
+    """The given tables read as fundamentals inputs; every frame is built on demand.
+
+    Frames that a query reads several times are written once to the checkpoint folder.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -85,6 +90,10 @@ class Data:
     def wide(self) -> DataFrame:
         return metrics.metrics_wide(self.facts, self.prices)
 
+    @cached_property
+    def shared_wide(self) -> DataFrame:
+        return cut_lineage(self.wide)
+
     @property
     def wide_without_prices(self) -> DataFrame:
         return metrics.metrics_wide(self.facts)
@@ -101,24 +110,25 @@ class Data:
     def metrics(self) -> DataFrame:
         return metrics.metrics_long(self.wide)
 
-    @property
+    @cached_property
     def raw(self) -> DataFrame:
-        return T.raw_filings_from_lineitem(self.lineitem)
+        return cut_lineage(T.raw_filings_from_lineitem(self.lineitem))
 
-    @property
+    @cached_property
     def readable(self) -> DataFrame:
         return filing_periods.in_preferred_unit(self.raw)
 
-    @property
+    @cached_property
     def sources(self) -> DataFrame:
-        return tag_merge.resolved_sources(
+        return cut_lineage(tag_merge.resolved_sources(
             self.profiles, self.profiles,
             C.profile_sources_frame(self.spark, R.profile_names()),
-            C.company_sources_frame(self.spark))
+            C.company_sources_frame(self.spark)))
 
-    @property
+    @cached_property
     def series(self) -> DataFrame:
-        return periods.merge_duplicate_ends(tag_merge.concept_series(self.readable, self.sources))
+        return cut_lineage(periods.merge_duplicate_ends(
+            tag_merge.concept_series(self.readable, self.sources)))
 
     @property
     def share_restatements(self) -> DataFrame:
@@ -315,12 +325,13 @@ def rolling_harmonic_5y(d: Data) -> DataFrame:
 
 @query
 def peer_band(d: Data) -> DataFrame:
-    return valuation.peer_band_flags(valuation.harmonic_rows(d.valued), d.profiles, AS_OF)
+    valued = cut_lineage(d.valued)
+    return valuation.peer_band_flags(valuation.harmonic_rows(valued), d.profiles, AS_OF)
 
 
 @query
 def profile_medians(d: Data) -> DataFrame:
-    rows = visibility.with_profile(d.history, d.profiles)
+    rows = cut_lineage(visibility.with_profile(d.history, d.profiles))
     keys = ["profile", "concept"]
     middle = group_median(rows, keys, "value").join(
         group_upper_median(rows, keys, "value", "upper_median"), keys)
@@ -330,8 +341,8 @@ def profile_medians(d: Data) -> DataFrame:
 # --- snapshot and freshness -------------------------------------------------
 
 def _current(d: Data) -> DataFrame:
-    wide = d.wide
-    rows = valuation.harmonic_rows(valuation.valuation_wide(wide, d.quotes))
+    wide = d.shared_wide
+    rows = valuation.harmonic_rows(cut_lineage(valuation.valuation_wide(wide, d.quotes)))
     return snapshot.build_snapshot(
         wide, d.quotes, valuation.five_year_averages(rows), AS_OF,
         valuation.peer_band_flags(rows, d.profiles, AS_OF))
@@ -344,7 +355,7 @@ def snapshot_latest(d: Data) -> DataFrame:
 
 @query
 def snapshot_as_of(d: Data) -> DataFrame:
-    wide = d.wide
+    wide = d.shared_wide
     averages = valuation.five_year_averages(
         valuation.harmonic_rows(valuation.valuation_wide(wide, d.quotes)))
     return rounded(snapshot.build_snapshot_as_of(CUTOFF, wide, d.prices, averages), "value")
@@ -579,7 +590,7 @@ def share_history_absent(d: Data) -> DataFrame:
 
 @query
 def null_columns(d: Data) -> DataFrame:
-    return views.null_columns(d.metrics, 4)
+    return views.null_columns(metrics.metrics_long(d.shared_wide), 4)
 
 
 @query
@@ -594,17 +605,22 @@ def concept_order(d: Data) -> DataFrame:
 
 @query
 def routed_values(d: Data) -> DataFrame:
-    return rounded(views.routed_values(d.metrics, d.history, ts.add_growth_column(d.full)), "value")
+    wide = d.shared_wide
+    history = valuation.valuation_history(valuation.valuation_wide(wide, d.quotes))
+    return rounded(views.routed_values(
+        metrics.metrics_long(wide), history, ts.add_growth_column(d.full)), "value")
 
 
 # --- published run ----------------------------------------------------------
 
 @query
 def universe_manifest(d: Data) -> DataFrame:
-    profiles, hidden = d.profiles, d.hidden
+    profiles, hidden, wide = d.profiles, d.hidden, d.shared_wide
     visible = lambda df: visibility.drop_hidden(df, profiles, hidden)
     growth = published.growth_export(ts.add_growth_column(visible(d.full)))
-    return published.universe(visible(d.metrics), visible(d.history), growth, profiles)
+    history = valuation.valuation_history(valuation.valuation_wide(wide, d.quotes))
+    return published.universe(
+        visible(metrics.metrics_long(wide)), visible(history), growth, profiles)
 
 
 @query

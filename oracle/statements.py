@@ -133,10 +133,10 @@ FROM marked WHERE is_outlier""",
     "valuation_panels": f"""SELECT m.ticker, m.concept, m.pe AS "end", {rounded('m.value')} AS value, {rounded('a.line')} AS mean_line
 FROM marked m JOIN (SELECT ticker, concept, CASE WHEN concept IN ({HARMONIC})
     THEN count(value) FILTER (value > 0) / nullif(sum(1 / value) FILTER (value > 0), 0) ELSE avg(value) END AS line
-  FROM win GROUP BY ALL) a USING (ticker, concept) WHERE NOT m.is_outlier""",
+  FROM win GROUP BY ticker, concept) a USING (ticker, concept) WHERE NOT m.is_outlier""",
     "panel_means": f"""SELECT ticker, concept, count(value) AS n, {rounded(f'''CASE WHEN concept IN ({HARMONIC})
     THEN count(value) FILTER (value > 0) / nullif(sum(1 / value) FILTER (value > 0), 0) ELSE avg(value) END''')} AS mean_line
-FROM win GROUP BY ALL""",
+FROM win GROUP BY ticker, concept""",
     "fundamentals_panels": f"""SELECT ticker, panel AS concept, {END}, value, quarterly_value FROM (
   SELECT *, count(value) OVER (PARTITION BY ticker, panel) AS n FROM (
     SELECT ticker, CASE concept {TWINS} ELSE concept END AS panel, pe,

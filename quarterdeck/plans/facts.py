@@ -67,7 +67,8 @@ def build_facts(raw: DataFrame, sources: DataFrame, splits: DataFrame | None = N
     """Clean quarterly facts plus annual TTM rows of all companies at once."""
     cleaned = raw if known_bad is None else drop_known_bad(raw, known_bad)
     readable = in_preferred_unit(cleaned)
-    series = merge_duplicate_ends(concept_series(readable, sources, "quarterly"))
+    sources = cut_lineage(sources)
+    series = cut_lineage(merge_duplicate_ends(concept_series(readable, sources, "quarterly")))
     annual = annual_ttm_rows(series, readable, sources, annual_ttm_concepts)
     columns = ["ticker", "concept", "end", "value", "filed"]
     repaired = repair_share_counts(

@@ -25,17 +25,17 @@ def unpivot_states(wide: DataFrame, concepts: Sequence[str] | Mapping[str, str],
                    keys: Sequence[str] = ("ticker", "end")) -> DataFrame:
     """Encoded wide columns back to long rows; absent cells give no row."""
     names = concepts if isinstance(concepts, Mapping) else {c: c for c in concepts}
-    cells = [F.struct(F.lit(concept).alias("concept"), F.col(column).alias("_state"))
-             for column, concept in names.items()]
-    rows = wide.select(*keys, F.inline(F.array(*cells)))
+    cells = ", ".join(f"named_struct('concept', '{concept}', '_state', `{column}`)"
+                      for column, concept in names.items())
+    rows = wide.select(*keys, F.expr(f"inline(array({cells}))"))
     state = Cell.of("_state")
     return rows.filter(state.exists).select(*keys, "concept", state.value.alias("value"))
 
 
 def unpivot_values(wide: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("ticker", "end"),
                    keep_null: bool = True) -> DataFrame:
-    long = wide.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        list(keys), list(columns), "concept", "value")
+    cells = ", ".join(f"named_struct('concept', '{c}', 'value', double(`{c}`))" for c in columns)
+    long = wide.select(*keys, F.expr(f"inline(array({cells}))"))
     return long if keep_null else long.filter(F.col("value").isNotNull())
 
 

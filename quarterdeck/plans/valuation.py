@@ -47,13 +47,13 @@ def aligned_periods(wide: DataFrame) -> DataFrame:
     Within a cluster the later filed end supplies a concept that both carry, and the close
     is the one at the surviving end.
     """
-    carried = sum((Cell.of(c).exists.cast("int") for c in NEEDED), F.lit(0))
+    carried = F.expr(" + ".join(f"int(`{c}` IS NOT NULL)" for c in NEEDED))
     rows = wide.withColumn("n_needed", carried).filter(F.col("n_needed") > 0)
     rows = rows.select("ticker", "end", "day", "n_needed", "g_revenue", CLOSE,
                        "buyback_distortion_flag", "share_count_jump_flag", *NEEDED)
     order = majority_order(F.col("n_needed"))
-    newest = [
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("day"))).alias(c) for c in NEEDED]
+    newest = [F.expr(f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN day END) AS `{c}`")
+              for c in NEEDED]
     merged = with_cluster(rows).groupBy("ticker", "cluster").agg(
         F.max_by("end", order).alias("end"),
         F.max_by("day", order).alias("day"),

@@ -85,12 +85,9 @@ def quarter_index(end: Column | str) -> Column:
     return (F.year(end) * 4 + F.quarter(end)).cast("long")
 
 
-def mixed_value(mix: dict[str, int]) -> Column:
-    total = None
-    for name, factor in mix.items():
-        term = F.col(name) * F.lit(factor)
-        total = term if total is None else total + term
-    return total.cast("double")
+def mixed_value(mix: dict[str, int]) -> str:
+    """SQL of a linear mix of quarter sums."""
+    return " + ".join(f"{name} * ({factor})" for name, factor in mix.items())
 
 
 def facts_from_lineitem(lineitem: DataFrame, concepts: tuple[str, ...] = FACT_CONCEPTS) -> DataFrame:
@@ -100,17 +97,15 @@ def facts_from_lineitem(lineitem: DataFrame, concepts: tuple[str, ...] = FACT_CO
     so that presence and absence both occur.
     """
     sums = quarter_sums(lineitem)
-    cells = []
-    for position, concept in enumerate(FACT_CONCEPTS):
-        if concept not in concepts:
-            continue
-        empty = (F.col("l_suppkey") + quarter_index("end") + position) % 23 == 0
-        lacking = (F.col("l_suppkey") + position) % 17 == 16
-        cells.append(F.struct(
-            F.lit(concept).alias("concept"),
-            F.when(~empty, mixed_value(FACT_MIX[concept])).alias("value"),
-            (~lacking).alias("kept")))
-    rows = sums.select(ticker_of("l_suppkey").alias("ticker"), "end", F.inline(F.array(*cells)))
+    quarter = "(year(end) * 4 + quarter(end))"
+    cells = ", ".join(
+        f"named_struct('concept', '{concept}', 'value', "
+        f"CASE WHEN (l_suppkey + qi + {position}) % 23 <> 0 "
+        f"THEN double({mixed_value(FACT_MIX[concept])}) END, "
+        f"'kept', (l_suppkey + {position}) % 17 <> 16)"
+        for position, concept in enumerate(FACT_CONCEPTS) if concept in concepts)
+    rows = sums.withColumn("qi", F.expr(quarter)).select(
+        ticker_of("l_suppkey").alias("ticker"), "end", F.expr(f"inline(array({cells}))"))
     return rows.filter("kept").select("ticker", "concept", "end", "value")
 
 

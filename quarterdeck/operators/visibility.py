@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from quarterdeck.constants import DEFAULT_PROFILE
 
-# A lookup frame may be broadcast when it is known to be configuration, or when its row
-# count was taken and stays below this.
-BROADCAST_ROW_LIMIT = 500_000
-
 
 def with_profile(df: DataFrame, profiles: DataFrame) -> DataFrame:
     """Attach the company's profile; unknown companies get the default one."""

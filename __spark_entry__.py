@@ -25,6 +25,11 @@ from quarterdeck.session import cut_lineage
 from quarterdeck.sources import filings, prices, published
 from quarterdeck.sources import tables as T
 
+try:
+    from quarterdeck.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 YEARS = 5
 
@@ -638,10 +643,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build: Callable[[Data], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: build(Data(spark, sf_dir))
 
-    return {name: bind(build) for name, build in QUERIES.items()}
+    return {name: bind(build) for name, build in QUERIES.items()} | (
+        llm_queries.QUERIES if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle.statements import oracle_sql as statements
     available = statements()
-    return {name: available[name] for name in QUERIES if name in available}
+    return {name: available[name] for name in QUERIES if name in available} | (
+        llm_queries.SQL if llm_queries else {})

@@ -38,9 +38,13 @@ RADIUS = 4
 SEED = 42
 BLOCK = 2
 #: unrelated fingerprints that share a key, at most (the mean)
-KEY_LOAD = 512
+KEY_LOAD = 1024
 #: fingerprints compared in one go; keys with more are split into pairs of chunks
 CHUNK = 8192
+#: up to so many, all pairs of a key are looked at as one matrix; beyond, one row at a time
+MATRIX = 2048
+#: references of the table that are tried on every pair before the others
+FIRST_REFERENCES = 4
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: origin, then one reference per block
 BLOCK_REFERENCES = np.array([0] + [((1 << BLOCK) - 1) << at for at in range(0, BITS, BLOCK)], np.uint64)
@@ -89,7 +93,7 @@ def with_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def distances(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Table of Hamming distances, one row per fingerprint."""
-    return np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int16)
+    return np.bitwise_count(prints[:, None] ^ references[None, :])
 
 
 def slices_for(count: int, radius: int = RADIUS) -> int:
@@ -103,7 +107,7 @@ def slices_for(count: int, radius: int = RADIUS) -> int:
 
 def keys_of(prints: np.ndarray, slices: int, radius: int = RADIUS) -> np.ndarray:
     """One row per fingerprint, one column per choice of slices: the coordinates as a number."""
-    table = distances(prints, BLOCK_REFERENCES)
+    table = distances(prints, BLOCK_REFERENCES).astype(np.int16)
     coordinates = (table[:, :1] - table[:, 1:] + BLOCK) // 2  # bits set in each block
     dealt = [np.arange(s, BITS // BLOCK, slices) for s in range(slices)]
     keys = []
@@ -115,28 +119,54 @@ def keys_of(prints: np.ndarray, slices: int, radius: int = RADIUS) -> np.ndarray
     return np.stack(keys, axis=1)
 
 
+def near(table: np.ndarray, rows: np.ndarray, columns: np.ndarray, radius: int) -> np.ndarray:
+    """Matrix of the pairs that the first references do not discard."""
+    kept = np.ones((len(rows), len(columns)), bool)
+    for reference in range(FIRST_REFERENCES):  # unsigned bytes wrap around: one comparison does
+        kept &= table[rows, reference][:, None] - table[columns, reference] + np.uint8(radius) <= 2 * radius
+    return kept
+
+
+def verified(prints: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarray,
+             radius: int) -> np.ndarray:
+    """Which pairs no reference discards and whose fingerprints are within the radius."""
+    apart = table[left] - table[right] + np.uint8(radius)
+    kept = np.flatnonzero((apart <= 2 * radius).all(axis=1))
+    return kept[np.bitwise_count(prints[left[kept]] ^ prints[right[kept]]) <= radius]
+
+
 def forest(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, first member reached) of a spanning forest of the links in ``prints``."""
     table = distances(prints, SPREAD_REFERENCES)
-    left = np.arange(len(prints))
-    members, hubs = [], []
+    every = np.arange(len(prints))
+    if len(prints) <= MATRIX:
+        left, right = np.nonzero(np.tril(near(table, every, every, radius), -1))
+        found = verified(prints, table, left, right, radius)
+        left, right, label = left[found], right[found], every.copy()
+        while True:
+            least = label.copy()
+            np.minimum.at(least, left, label[right])
+            np.minimum.at(least, right, label[left])
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        moved = np.flatnonzero(label != every)
+        return prints[moved], prints[label[moved]]
+    members, hubs, left = [], [], every
     while len(left):
         hub, left = left[0], left[1:]
         queue = [hub]
         while queue and len(left):
-            at = queue.pop()
-            near = np.ones(len(left), bool)
-            for column in range(table.shape[1]) if len(left) < 64 else range(2):
-                near &= np.abs(table[left, column] - table[at, column]) <= radius
-            near = np.flatnonzero(near)
-            near = near[(np.abs(table[left[near]] - table[at]) <= radius).all(axis=1)]
-            near = near[np.bitwise_count(prints[left[near]] ^ prints[at]) <= radius]
-            if len(near):
-                reached = left[near]
-                members.append(reached)
-                hubs.append(np.full(len(reached), hub))
-                queue.extend(reached.tolist())
-                left = np.delete(left, near)
+            at = np.array(queue[-1:])
+            queue.pop()
+            close = np.flatnonzero(near(table, at, left, radius)[0])
+            close = close[verified(prints, table, np.repeat(at, len(close)), left[close], radius)]
+            if len(close):
+                members.append(left[close])
+                hubs.append(np.full(len(close), hub))
+                queue.extend(left[close].tolist())
+                left = np.delete(left, close)
     if not members:
         return prints[:0], prints[:0]
     return prints[np.concatenate(members)], prints[np.concatenate(hubs)]

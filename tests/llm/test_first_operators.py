@@ -162,3 +162,21 @@ def test_clashing_columns_do_not_matter(spark):
     assert packing.pack(df, with_ids=False).columns[:2] == ["doc_id", "start"]
     assert exact_dedup.exact_dedup(df).filter("kept").count() == 2
     assert DOCS
+
+
+def test_search_by_rows_finds_what_the_matrix_finds(monkeypatch):
+    r = rng()
+    bases = r.integers(0, 2 ** 63, 30, dtype=np.uint64)
+    flips = np.uint64(1) << r.integers(0, 63, (30, 20), dtype=np.uint64)
+    prints = np.unique((bases[:, None] ^ flips ^ np.roll(flips, 1, axis=1)).ravel())
+
+    def classes(edges):
+        hub = dict(zip(edges[0].tolist(), edges[1].tolist()))
+        groups = defaultdict(set)
+        for v in prints.tolist():
+            groups[hub.get(v, v)].add(v)
+        return sorted(map(sorted, groups.values()))
+
+    matrix = classes(simhash_dedup.forest(prints))
+    monkeypatch.setattr(simhash_dedup, "MATRIX", 0)
+    assert classes(simhash_dedup.forest(prints)) == matrix and 1 < len(matrix) < len(prints)

@@ -26,61 +26,69 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(whole_text(column), BLANKS, " ")
 
 
-def radix_groups(rows: DataFrame, data: str, first_width: int = FIRST_WIDTH) -> DataFrame:
-    """Group ``rows`` (doc_id long, binary column ``data``, other narrow columns) by equal bytes.
+def radix_groups(rows: DataFrame, keep_text: bool = False, first_width: int = FIRST_WIDTH) -> DataFrame:
+    """Group ``rows`` (doc_id, text, and one narrow column ``carried``) by equal normalised bytes.
 
-    Returns the other columns and row_id, group_id (row_id of one member), keep_id (smallest
-    doc_id of the group) and group_size.  ``rows`` must come in the same order whenever it
-    is read (a table scan does).
+    Returns doc_id, carried, row_id, group_id (row_id of one member), keep_id (smallest
+    doc_id of the group), group_size, and text if it is to be kept.  ``rows`` must come in
+    the same order whenever it is read (a table scan does).
     """
     scratch = Scratch(rows.sparkSession, "radix")
-    carried = [c for c in rows.columns if c != data]
-    alive = rows.select(*carried, F.monotonically_increasing_id().alias("row_id"),
-                        F.lit(0).cast("long").alias("parent"), F.col(data).alias("rest"))
-    finished, width, level = None, first_width, 0
+    alive = rows.select("doc_id", "carried", F.monotonically_increasing_id().alias("row_id"),
+                        F.lit(0).cast("long").alias("parent"), "text")
+    finished, start, width, level = None, 1, first_width, 0
     while True:
-        split = alive.withColumn("head", F.substring("rest", 1, width)).withColumn(
-            "rest", F.expr(f"substring(rest, {width + 1})"))
+        split = alive.withColumn("head", F.substring(normalised().cast("binary"), start, width))
         groups = split.groupBy("parent", "head").agg(
             F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"),
             F.min("row_id").alias("first_row")).filter("n > 1")
-        # a head shorter than the width, or nothing behind it in the whole group, has ended;
-        # a full head with an empty rest ends in the next round, as an empty head
-        ended = F.col("n").isNull() | (F.length("head") < width)
+        # a head shorter than the width has ended; texts that end with a full head do so in
+        # the next round, as an empty head
+        done = F.col("n").isNull() | (F.length("head") < width)
         routed = split.join(groups, ["parent", "head"], "left").select(
-            *carried, "row_id", F.coalesce("first_row", "row_id").alias("parent"),
+            "doc_id", "carried", "row_id", F.coalesce("first_row", "row_id").alias("parent"),
             F.coalesce("first_id", "doc_id").alias("keep_id"),
             F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-            F.when(~ended, F.col("rest")).alias("rest"), ended.alias("done"))
+            F.when(~done | F.lit(keep_text), F.col("text")).alias("text"), done.alias("done"))
         table = scratch.write(routed, f"round{level}", "done")
-        done = table.filter("done").select(
-            *carried, "row_id", F.col("parent").alias("group_id"), "keep_id", "group_size")
-        finished = done if finished is None else finished.unionByName(done)
-        alive = table.filter("NOT done").select(*carried, "row_id", "parent", "rest")
+        ended = table.filter("done").select(
+            "doc_id", "carried", "row_id", F.col("parent").alias("group_id"), "keep_id", "group_size",
+            *(["text"] if keep_text else []))
+        finished = ended if finished is None else finished.unionByName(ended)
+        alive = table.filter("NOT done").select("doc_id", "carried", "row_id", "parent", "text")
         if alive.isEmpty():
             return finished
-        width, level = width * GROWTH, level + 1
+        start, width, level = start + width, width * GROWTH, level + 1
 
 
-def exact_dedup(docs: DataFrame, *keep_columns: str) -> DataFrame:
+def with_kept(grouped: DataFrame) -> DataFrame:
+    """Add ``kept``: true in one row of each group, a row with the group's keep_id."""
+    copies = grouped.filter("group_size > 1")
+    # several rows may share that doc_id: the first of them
+    stays = copies.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("group_id").agg(
+        F.min("row_id").alias("row_id")).select("row_id", F.lit(True).alias("stays"))
+    marked = copies.join(stays, "row_id", "left").withColumn("kept", F.coalesce("stays", F.lit(False)))
+    return grouped.filter("group_size = 1").withColumn("kept", F.lit(True)).unionByName(marked.drop("stays"))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after ``normalised``; the row with the smallest doc_id
-    of a group stays.  A null text counts as empty; a null doc_id sorts after all numbers
-    and so stays only where its whole group has none.  Of rows repeated with the same
-    doc_id and text exactly one is kept.  Other columns are ignored unless named in
-    ``keep_columns``.  An empty table gives an empty result.
+    of a group stays.  A null text counts as empty; a row without doc_id stays only where
+    its whole group has none.  Of rows repeated with the same doc_id and text exactly one is
+    kept.  Columns other than doc_id and text are ignored.  An empty table gives an empty
+    result.
     """
-    text = normalised()
-    rows = docs.select("doc_id", *keep_columns, F.sha2(text.cast("binary"), 256).alias("text_sha256"),
-                       text.cast("binary").alias("bytes"))
-    grouped = radix_groups(rows, "bytes")
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    copies = grouped.filter("group_size > 1")
-    # ties of one doc_id inside a group: its first row
-    stays = copies.filter(first).groupBy("group_id").agg(F.min("row_id").alias("row_id")).select(
-        "row_id", F.lit(True).alias("stays"))
-    marked = copies.join(stays, "row_id", "left").withColumn("kept", F.coalesce("stays", F.lit(False)))
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", *keep_columns]
-    return grouped.filter("group_size = 1").withColumn("kept", F.lit(True)).select(*columns).unionByName(
-        marked.select(*columns))
+    digest = F.sha2(normalised().cast("binary"), 256)
+    grouped = radix_groups(docs.select("doc_id", digest.alias("carried"), "text"))
+    return with_kept(grouped).select("doc_id", "keep_id", "group_size", "kept",
+                                     F.col("carried").alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns as they were."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
+    kept = with_kept(radix_groups(docs.select("doc_id", packed.alias("carried"), "text"), keep_text=True)).filter("kept")
+    return kept.select(*[F.col(f"carried.`{c}`") if c in others else F.col(c) for c in docs.columns])

@@ -66,19 +66,21 @@ def pack(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6 if with_ids else 5)]
+            rows: list[tuple] = []
+            tokens: list[np.ndarray] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array([*encode(text), END_ID], dtype="<u4")
                 start = 0
                 for length in cut_lengths(len(ids), limit):
-                    piece = ids[start:start + length]
-                    for column, value in zip(columns, (
-                            doc_id, start, length, zlib.crc32(piece.tobytes()), len(ids), piece)):
-                        column.append(value)
+                    rows.append((doc_id, start, length, zlib.crc32(ids[start:start + length].tobytes()), len(ids)))
                     start += length
-            arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
+                if with_ids:
+                    tokens.append(ids)
+            arrays = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5
             if with_ids:
-                arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
+                ends = np.concatenate(([0], np.cumsum([r[2] for r in rows], dtype=np.int64))).astype(np.int32)
+                flat = np.concatenate(tokens or [np.zeros(0, "<u4")]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
 
     pieces = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(cut, schema)

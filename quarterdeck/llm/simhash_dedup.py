@@ -228,3 +228,12 @@ def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     of_print = rooted.join(least, "root").select("fingerprint", "component_id")
     return prints.join(of_print, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each group of linked ones, that with the smallest doc_id; all columns.
+
+    Documents without a doc_id stay.
+    """
+    dropped = simhash_dedup(docs, words, radius).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

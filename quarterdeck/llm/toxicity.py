@@ -286,3 +286,18 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id are no inputs of a score.
     """
     return score_documents(docs, fit(docs, labels))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns."""
+    models = fit(docs, labels)
+    if models is None:
+        return docs
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = models.scorer()
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(models.probability(scorer(texts)) < THRESHOLD))
+
+    return docs.mapInArrow(clean, docs.schema)

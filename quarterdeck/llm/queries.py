@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterdeck.llm import decontaminate, exact_dedup, packing, quality, sharding, simhash_dedup
-from quarterdeck.llm import site_tree, toxicity, url_filter
+from quarterdeck.llm import site_tree, suffix_dedup, toxicity, url_filter
 
 RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
          url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
@@ -49,6 +49,10 @@ def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_toxicity, op4_simhash, op5_decontaminate,
-                            op6_quality, op7_site_tree, op9_sharding, op10_packing, pipeline)}
+                            op6_quality, op7_site_tree, op8_suffix_dedup, op9_sharding, op10_packing, pipeline)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""

@@ -230,7 +230,7 @@ def margin_self_guarded(d: Data) -> DataFrame:
 
 @query
 def difference_and_sum(d: Data) -> DataFrame:
-    facts = d.facts
+    facts = d.facts.filter(F.col("concept").isin("LongTermDebt", "CashAndEquivalents"))
     net = ratios.calculate_difference(facts, "LongTermDebt", "CashAndEquivalents", "net_debt")
     total = ratios.calculate_difference(facts, "LongTermDebt", "CashAndEquivalents", "total", "+")
     return net.join(total, ["ticker", "end"])
@@ -543,7 +543,7 @@ def hidden_filter(d: Data) -> DataFrame:
 
 @query
 def visibility_matrix(d: Data) -> DataFrame:
-    return views.visibility_matrix(d.spark, d.hidden)
+    return views.visibility_matrix(d.profiles, d.hidden)
 
 
 @query

@@ -123,10 +123,9 @@ WHERE place = 1 AND value IS NOT NULL AND newest - pe <= 365""",
       ON w.ticker = f.ticker AND w.concept = f.concept)) e
 WHERE e.n / CAST(e.best AS DOUBLE) < 0.5""",
     "hidden_filter": f"SELECT ticker, concept, {END}, value FROM vis",
-    "visibility_matrix": "SELECT m.id, m.chart, CAST({} AS INTEGER) AS profiles, {} FROM (VALUES {}) AS m(id, chart)".format(
-        " + ".join(f"CAST({s} AS INTEGER)" for s in (
-            f"NOT EXISTS (SELECT 1 FROM hidden h WHERE h.profile = '{p}' AND h.concept = m.id)" for p in R.profile_names())),
-        ", ".join(f"NOT EXISTS (SELECT 1 FROM hidden h WHERE h.profile = '{p}' AND h.concept = m.id) AS {p}" for p in R.profile_names()),
+    "visibility_matrix": """SELECT p.ticker, m.id, m.chart,
+  NOT EXISTS (SELECT 1 FROM hidden h WHERE h.profile = p.profile AND h.concept = m.id) AS shown
+FROM profiles p CROSS JOIN (VALUES {}) AS m(id, chart)""".format(
         ", ".join(f"('{m.id}', '{m.chart}')" for m in R.METRICS)),
     "outlier_report": f"""SELECT ticker, concept, {END}, {rounded()} AS value, {rounded('value / med')} AS times_median
 FROM marked WHERE is_outlier""",

@@ -116,15 +116,12 @@ BASE: dict[str, Candidate] = {
     "ShareBasedCompensation": flow(
         "ShareBasedCompensation",
         "AllocatedShareBasedCompensationExpense",
-        "AdjustmentsToAdditionalPaidInCapitalSharebasedCompensationRequisiteServicePeriod"
-        "RecognitionValue",
+        "AdjustmentsToAdditionalPaidInCapitalSharebasedCompensationRequisiteServicePeriodRecognitionValue",
     ),
     "IncomeTaxExpense": flow("IncomeTaxExpenseBenefit"),
     "PretaxIncome": flow(
-        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItems"
-        "NoncontrollingInterest",
-        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLoss"
-        "FromEquityMethodInvestments",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments",
         "IncomeLossFromContinuingOperationsBeforeIncomeTaxesDomestic",
     ),
     "StockRepurchased": flow(
@@ -139,8 +136,7 @@ BASE: dict[str, Candidate] = {
         "ProceedsFromIssuanceOfCommonStock",
         "StockIssuedDuringPeriodValueNewIssues",
         "ProceedsFromIssuanceOrSaleOfEquity",
-        "ProceedsFromIssuanceOfSharesUnderIncentiveAndShareBasedCompensationPlans"
-        "IncludingStockOptions",
+        "ProceedsFromIssuanceOfSharesUnderIncentiveAndShareBasedCompensationPlansIncludingStockOptions",
         "ProceedsFromStockPlans",
         "ProceedsFromStockOptionsExercised",
         "ProceedsFromIssuanceOfSharesUnderIncentiveAndShareBasedCompensationPlans",

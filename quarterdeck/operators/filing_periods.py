@@ -30,16 +30,25 @@ def drop_known_bad(raw: DataFrame, known_bad: DataFrame) -> DataFrame:
                     ["ticker", "tag", "end", "filed", "val"], "left_anti")
 
 
-def preferred_units(raw: DataFrame) -> DataFrame:
-    """The unit to read per tag: dollars, per-share dollars, shares, else the first listed."""
-    rank = F.coalesce(*[F.when(F.col("unit") == u, F.lit(i))
+def _unit_rank() -> Column:
+    return F.coalesce(*[F.when(F.col("unit") == u, F.lit(i))
                         for i, u in enumerate(K.PREFERRED_UNITS)],
                       F.col("unit_pos") + len(K.PREFERRED_UNITS))
-    return raw.groupBy(*TAG).agg(F.min_by("unit", rank).alias("unit"))
+
+
+def preferred_units(raw: DataFrame) -> DataFrame:
+    """The unit to read per tag: dollars, per-share dollars, shares, else the first listed."""
+    units = raw.groupBy(*TAG, "unit").agg(F.min(_unit_rank()).alias("_rank"))
+    # one row per unit is left of a tag
+    first = F.row_number().over(Window.partitionBy(*TAG).orderBy("_rank"))
+    return units.withColumn("_first", first).filter("_first = 1").select(*TAG, "unit")
 
 
 def in_preferred_unit(raw: DataFrame) -> DataFrame:
-    return raw.join(preferred_units(raw), [*TAG, "unit"], "left_semi")
+    """Facts in their tag's preferred unit, chosen by rank: a number, so it combines map-side."""
+    ranked = raw.withColumn("_rank", _unit_rank())
+    best = ranked.groupBy(*TAG).agg(F.min("_rank").alias("_rank"))
+    return ranked.join(best, [*TAG, "_rank"], "left_semi").drop("_rank")
 
 
 def with_days(raw: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck import constants as K
@@ -20,9 +20,9 @@ def resolved_sources(companies: DataFrame, profiles: DataFrame, profile_sources:
     ``profile_sources`` and ``company_sources`` are configuration, not data.
     """
     by_profile = with_profile(companies.select("ticker").distinct(), profiles).join(
-        F.broadcast(profile_sources.withColumnRenamed("owner", "profile")), "profile")
+        profile_sources.withColumnRenamed("owner", "profile"), "profile")
     own = company_sources.withColumnRenamed("owner", "ticker")
-    replaced = F.broadcast(own.select("ticker", "concept").distinct())
+    replaced = own.select("ticker", "concept").distinct()
     inherited = by_profile.join(replaced, ["ticker", "concept"], "left_anti")
     mine = own.join(companies.select("ticker").distinct(), "ticker", "left_semi")
     return inherited.select("ticker", *CONFIG).unionByName(mine.select("ticker", *CONFIG))
@@ -31,14 +31,15 @@ def resolved_sources(companies: DataFrame, profiles: DataFrame, profile_sources:
 def expected_concepts(sources: DataFrame, profiles: DataFrame, excluded: DataFrame) -> DataFrame:
     """Concepts a company is expected to report."""
     wanted = with_profile(sources.select("ticker", "concept").distinct(), profiles)
-    return wanted.join(F.broadcast(excluded), ["profile", "concept"], "left_anti").select(
+    return wanted.join(excluded, ["profile", "concept"], "left_anti").select(
         "ticker", "concept")
 
 
 def sum_of_tags(series: DataFrame, sources: DataFrame) -> DataFrame:
     """Value per source and end: the sum of the terms present, where a required tag exists.
 
-    A single tag is a sum of one.  Filing dates only survive for single tags.
+    A single tag is a sum of one.  Filing dates only survive for single tags; ``with_tag``
+    adds the tag's name.
     """
     rows = series.join(sources, ["ticker", "tag"])
     term = F.col("role") == "term"
@@ -48,7 +49,6 @@ def sum_of_tags(series: DataFrame, sources: DataFrame) -> DataFrame:
         F.count(F.when(term, 1)).alias("_terms"),
         F.count(F.when(needs, 1)).alias("_required_seen"),
         F.max(F.when(F.col("kind") == "tag", F.col("filed"))).alias("filed"),
-        F.max(F.when(F.col("kind") == "tag", F.col("tag"))).alias("tag"),
         F.max("non_negative").alias("non_negative"),
         F.max("only_if_empty").alias("only_if_empty"))
     requiring = sources.filter(F.col("role") == "require").select(
@@ -71,12 +71,23 @@ def first_source_wins(candidates: DataFrame) -> DataFrame:
     chosen = usable.groupBy("ticker", "concept", "end").agg(
         F.min_by("value", "source_ix").alias("value"),
         F.min_by("filed", "source_ix").alias("filed"),
-        F.min_by("tag", "source_ix").alias("tag"),
-        F.min_by("only_if_empty", "source_ix").alias("_last_resort"))
-    with_others = chosen.filter(~F.col("_last_resort")).select("ticker", "concept").distinct()
-    kept = chosen.filter(~F.col("_last_resort")).unionByName(
-        chosen.filter("_last_resort").join(with_others, ["ticker", "concept"], "left_anti"))
-    return kept.drop("_last_resort")
+        F.min_by("only_if_empty", "source_ix").alias("_last_resort"),
+        F.min("source_ix").alias("source_ix"))
+    # the reduced rows of a series are bounded by the calendar
+    series = Window.partitionBy("ticker", "concept")
+    others = F.max(~F.col("_last_resort")).over(series)
+    return chosen.withColumn("_others", others).filter(~F.col("_last_resort") | ~F.col("_others")).drop(
+        "_last_resort", "_others")
+
+
+def with_tag(series: DataFrame, sources: DataFrame) -> DataFrame:
+    """Name the tag behind each value; null where several tags were added up.
+
+    Names are looked up by position, so no aggregate has to carry strings.
+    """
+    names = sources.filter((F.col("kind") == "tag") & (F.col("role") == "term")).groupBy(
+        "ticker", "concept", "source_ix", "tag").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return series.join(names, ["ticker", "concept", "source_ix"], "left").drop("source_ix")
 
 
 def concept_series(raw: DataFrame, sources: DataFrame, period: str = "quarterly") -> DataFrame:
@@ -87,7 +98,8 @@ def concept_series(raw: DataFrame, sources: DataFrame, period: str = "quarterly"
         needed = raw.join(wanted.select("ticker", "tag").distinct(), ["ticker", "tag"], "left_semi")
         part = sum_of_tags(tag_series(needed, period, point_in_time), wanted)
         merged = part if merged is None else merged.unionByName(part)
-    return first_source_wins(merged)
+    return with_tag(first_source_wins(merged), sources).select(
+        "ticker", "concept", "end", "value", "filed", "tag")
 
 
 def drop_negative(series: DataFrame) -> DataFrame:
@@ -105,9 +117,9 @@ def drop_masked_periods(series: DataFrame, masked: DataFrame) -> DataFrame:
 def shares_basis(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """Numeric code of the basis behind each company's newest share count."""
     shares = concept_series(raw, sources.filter(F.col("concept") == "SharesOutstanding"))
-    newest = shares.groupBy("ticker").agg(F.max_by("tag", "end").alias("tag"))
     code = (F.when(F.col("tag").isin(*K.WEIGHTED_SHARE_TAGS),
                    F.lit(K.SHARES_BASIS_CODES["diluted_wavg"]))
             .when(F.col("tag").isin(*K.PERIOD_END_SHARE_TAGS),
                   F.lit(K.SHARES_BASIS_CODES["period_end"])))
-    return newest.select("ticker", code.alias("shares_basis")).filter("shares_basis IS NOT NULL")
+    return shares.withColumn("_code", code).groupBy("ticker").agg(
+        F.max_by("_code", "end").alias("shares_basis")).filter("shares_basis IS NOT NULL")

@@ -23,4 +23,4 @@ def drop_hidden(df: DataFrame, profiles: DataFrame, hidden: DataFrame) -> DataFr
     """
     columns = df.columns
     tagged = with_profile(df, profiles)
-    return tagged.join(F.broadcast(hidden), ["profile", "concept"], "left_anti").select(*columns)
+    return tagged.join(hidden, ["profile", "concept"], "left_anti").select(*columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck import registry
 from quarterdeck.concept_sources import company_sources_frame, profile_sources_frame
+from quarterdeck.operators.filing_periods import drop_known_bad, in_preferred_unit
 from quarterdeck.operators.tag_merge import expected_concepts, resolved_sources, shares_basis
 from quarterdeck.operators.timeseries import add_growth_column, add_ttm_concepts
 from quarterdeck.operators.visibility import drop_hidden
@@ -97,6 +98,7 @@ def refresh(inputs: Inputs, root: str, run_id: str, as_of) -> dict:
     sources = resolved_sources(
         companies, inputs.profiles, profile_sources_frame(spark, registry.profile_names()),
         company_sources_frame(spark) if own is None else own)
+    readable = in_preferred_unit(raw if inputs.known_bad is None else drop_known_bad(raw, inputs.known_bad))
     facts = cut_lineage(build_facts(
         raw, sources, split_events(inputs.price_history), inputs.known_bad,
         inputs.masked_periods))
@@ -104,7 +106,7 @@ def refresh(inputs: Inputs, root: str, run_id: str, as_of) -> dict:
     coverage = coverage_report(coverage_flags(facts, expected), inputs.profiles)
     coverage.write.parquet(f"{root}/{run_id}/coverage")
     result = calculate(facts, inputs.price_history, inputs.quotes, inputs.profiles, as_of,
-                       shares_basis(raw, sources), inputs.submissions)
+                       shares_basis(readable, sources), inputs.submissions)
     frames = published_frames(result, inputs.profiles, registry.hidden_frame(spark))
     frames["facts_full"] = cut_lineage(frames["facts_full"])
     frames["facts_growth"] = growth_export(frames["facts_full"])

@@ -165,8 +165,7 @@ def peer_band_flags(rows: DataFrame, profiles: DataFrame, as_of) -> DataFrame:
     group = ["profile", "concept"]
     peers = own.groupBy(*group).agg(F.count(F.lit(1)).alias("n_peers")).filter(
         F.col("n_peers") >= K.PEER_MIN_GROUP)
-    # at most one row per profile and multiple: configuration-sized
     peers = peers.join(group_median(own, group, "latest", "peer_median"), group)
-    return own.join(F.broadcast(peers), group).select(
+    return own.join(peers, group).select(
         "ticker", F.concat("concept", F.lit("_band_elevated")).alias("concept"),
         (F.col("low") > F.col("peer_median")).cast("double").alias("value"))

@@ -139,7 +139,7 @@ def compare(data: DataFrame, concept: str, tickers: Sequence[str], profiles: Dat
         spark.createDataFrame([(t,) for t in wanted], "ticker string"), profiles)
     is_hidden = (hidden.filter(F.col("concept") == concept).select("profile").distinct()
                  .withColumn("_hidden", F.lit(True)))
-    asked = asked.join(F.broadcast(is_hidden), "profile", "left")
+    asked = asked.join(is_hidden, "profile", "left")
     rows = trailing_years(
         data.filter((F.col("concept") == concept) & F.col("ticker").isin(*wanted)), years, as_of)
     counts = rows.groupBy("ticker").agg(F.count(value).alias("_n"))
@@ -150,9 +150,7 @@ def compare(data: DataFrame, concept: str, tickers: Sequence[str], profiles: Dat
     plotted = rows.join(judged.filter(F.col("reason").isNull()).select("ticker"), "ticker",
                         "left_semi")
     series = outlier_mask(plotted, value).select(*SERIES, "end", value, "is_outlier")
-    valuation = registry_frame(spark).filter((F.col("id") == concept)
-                                             & (F.col("chart") == VALUATION)).count() > 0
-    if not valuation:
+    if not any(m.id == concept and m.chart == VALUATION for m in METRICS):
         series = series.withColumn("is_outlier", F.lit(False))
     return series, judged.filter(F.col("reason").isNotNull()).select("ticker", "reason")
 
@@ -163,8 +161,7 @@ def comparison_counts(data: DataFrame, profiles: DataFrame, hidden: DataFrame, y
     rows = outlier_mask(trailing_years(data, years, as_of))
     counted = with_profile(rows.groupBy(*SERIES).agg(
         F.count("value").alias("n_points"), F.count_if("is_outlier").alias("n_outliers")), profiles)
-    marked = counted.join(F.broadcast(hidden.withColumn("_hidden", F.lit(True))),
-                          ["profile", "concept"], "left")
+    marked = counted.join(hidden.withColumn("_hidden", F.lit(True)), ["profile", "concept"], "left")
     return marked.select(
         *SERIES, "n_points", "n_outliers",
         F.when(F.col("_hidden"), "hidden").when(F.col("n_points") == 0, "no data")
@@ -236,17 +233,13 @@ def null_columns(frame: DataFrame, periods: int = 16) -> DataFrame:
                  F.count(F.lit(1)).alias("concepts")))
 
 
-def visibility_matrix(spark, hidden: DataFrame) -> DataFrame:
-    """Metric x profile: is it shown, and how many profiles show it."""
-    profiles = profile_names()
-    counts = hidden.groupBy("concept").agg(*[
-        F.max(F.when(F.col("profile") == p, True)).alias(p) for p in profiles])
-    rows = registry_frame(spark).join(
-        F.broadcast(counts), F.col("id") == F.col("concept"), "left")
-    shown = {p: F.col(p).isNull() for p in profiles}
-    total = sum((c.cast("int") for c in shown.values()), F.lit(0))
-    return rows.select("id", "chart", total.alias("profiles"),
-                       *[c.alias(p) for p, c in shown.items()])
+def visibility_matrix(profiles: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Company x metric: is it shown for the company's profile?"""
+    menu = F.array(*[F.struct(F.lit(m.id).alias("id"), F.lit(m.chart).alias("chart")) for m in METRICS])
+    asked = profiles.select("ticker", "profile", F.inline(menu))
+    marks = hidden.select("profile", F.col("concept").alias("id"), F.lit(True).alias("_hidden")).distinct()
+    return asked.join(marks, ["profile", "id"], "left").select(
+        "ticker", "id", "chart", F.col("_hidden").isNull().alias("shown"))
 
 
 def undocumented_metrics(spark) -> DataFrame:

@@ -37,66 +37,66 @@ class Metric:
         return CHART_COLUMNS[self.chart]
 
 
-def _m(metric_id, chart, label, ref=None, flags="", formula=None, description=None) -> Metric:
-    """``flags``: p = percent axis, q = has a quarterly twin, h = harmonic mean."""
-    return Metric(metric_id, chart, label, ref, "p" in flags, "q" in flags, "h" in flags,
-                  description, formula)
+def _m(metric_id, chart, label, ref=None, *, percent=False, twin=False, harmonic=False,
+       formula=None, description=None) -> Metric:
+    """``twin``: the metric has a quarterly counterpart."""
+    return Metric(metric_id, chart, label, ref, percent, twin, harmonic, description, formula)
 
 
 # --- fixed values: registered metrics in panel order ------------------------
 METRICS: tuple[Metric, ...] = (
-    _m("revenue_yoy_growth", FUNDAMENTALS, "Revenue growth", 0, "p"),
-    _m("income_yoy_growth", FUNDAMENTALS, "Income growth", 0, "p"),
-    _m("operating_margin", FUNDAMENTALS, "Operating Margin", None, "pq"),
-    _m("roe", FUNDAMENTALS, "Return on Equity", None, "p"),
-    _m("debt_to_equity", FUNDAMENTALS, "Debt-to-Equity Ratio"),
-    _m("payout_ratio", FUNDAMENTALS, "Payout Ratio", None, "pq"),
-    _m("fcf_margin", FUNDAMENTALS, "Free Cash Flow Margin", None, "pq"),
-    _m("net_debt_to_ebitda", FUNDAMENTALS, "Net Debt / EBITDA", 0),
-    _m("rule_of_40", FUNDAMENTALS, "Rule of 40", 0.4, "p"),
-    _m("net_interest_margin", FUNDAMENTALS, "Net Interest Margin", None, "p"),
-    _m("efficiency_ratio", FUNDAMENTALS, "Efficiency Ratio", None, "pq"),
-    _m("roa", FUNDAMENTALS, "Return on Assets", None, "p"),
-    _m("equity_to_assets", FUNDAMENTALS, "Equity / Assets", None, "p"),
-    _m("provision_ratio", FUNDAMENTALS, "Provision/Revenue", 0, "pq"),
-    _m("combined_ratio", FUNDAMENTALS, "Combined Ratio", 1.0, "pq"),
-    _m("loss_ratio", FUNDAMENTALS, "Loss Ratio", None, "pq"),
-    _m("expense_ratio", FUNDAMENTALS, "Expense Ratio", None, "pq"),
-    _m("net_investment_yield", FUNDAMENTALS, "Net Investment Yield", None, "p"),
-    _m("reserve_growth", FUNDAMENTALS, "Reserve Growth", 0, "p"),
-    _m("inventory_turnover", FUNDAMENTALS, "Inventory Turnover (x/Year)"),
-    _m("dio", FUNDAMENTALS, "Days Inventory Outstanding"),
-    _m("dso", FUNDAMENTALS, "Days Sales Outstanding"),
-    _m("dpo", FUNDAMENTALS, "Days Payable Outstanding"),
-    _m("cash_conversion_cycle", FUNDAMENTALS, "Cash Conversion Cycle (Days)", 0),
-    _m("rd_intensity", FUNDAMENTALS, "R&D Intensity (% Revenue)", None, "pq"),
-    _m("capex_intensity", FUNDAMENTALS, "CapEx Intensity (% Revenue)", None, "pq"),
-    _m("operating_leverage", FUNDAMENTALS, "Operating Leverage", 1.0),
-    _m("operating_income_yoy_growth", FUNDAMENTALS, "Operating Income YOY Growth", 0, "p"),
-    _m("ffo_margin", FUNDAMENTALS, "FFO Margin (% Revenue)", None, "pq"),
-    _m("pe_ratio", VALUATION, "P/E (TTM)", None, "h"),
-    _m("pb_ratio", VALUATION, "P/B"),
-    _m("pfcf_ratio", VALUATION, "P/FCF (TTM)", None, "h"),
-    _m("ev_fcf", VALUATION, "EV/FCF (TTM)"),
-    _m("pfcf_ex_sbc", VALUATION, "P/FCF ex-SBC (TTM)"),
-    _m("ev_ebitda", VALUATION, "EV/EBITDA", None, "h"),
-    _m("ev_sales", VALUATION, "EV/Sales"),
-    _m("dividend_yield", VALUATION, "dividend yield", None, "p"),
-    _m("p_tbv", VALUATION, "P/TBV", None, "h"),
-    _m("p_ppnr", VALUATION, "P/PPNR", None, "h"),
-    _m("p_core_earnings", VALUATION, "P/Core Earnings", None, "h"),
-    _m("p_ffo", VALUATION, "P/FFO (TTM)", None, "h"),
-    _m("pe_to_revenue_growth", VALUATION, "PE to Revenue Growth"),
-    _m("Revenue", GROWTH, "Revenue growth (Quartal, YoY)", 0, "p"),
-    _m("NetIncomeLoss", GROWTH, "Net Income Growth (Quartal, YoY)", 0, "p"),
-    _m("SharesOutstanding", GROWTH, "Shares Outstanding (Stock Dilution/Repurchase)", 0, "p"),
-    _m("EPS_TTM_CALC", GROWTH, "EPS Growth (TTM, YoY)", 0, "p"),
-    _m("FCF_TTM", GROWTH, "Free Cash Flow Growth (TTM, YoY)", 0, "p"),
-    _m("OperatingIncomeLoss_TTM", GROWTH, "Operating Income Growth (TTM, YoY)", 0, "p"),
-    _m("StockholdersEquity", GROWTH, "Equity Growth (Quartal, YoY)", 0, "p"),
-    _m("PPNR", GROWTH, "PPNR Growth (TTM, YoY)", 0, "p"),
-    _m("CoreOperatingEarnings", GROWTH, "Core Operating Earnings Growth (TTM, YoY)", 0, "p"),
-    _m("FFO_TTM", GROWTH, "FFO Growth (TTM, YoY)", 0, "p"),
+    _m("revenue_yoy_growth", FUNDAMENTALS, "Growth of revenue", 0, percent=True),
+    _m("income_yoy_growth", FUNDAMENTALS, "Growth of net income", 0, percent=True),
+    _m("operating_margin", FUNDAMENTALS, "Operating margin", percent=True, twin=True),
+    _m("roe", FUNDAMENTALS, "Equity return", percent=True),
+    _m("debt_to_equity", FUNDAMENTALS, "Debt over equity"),
+    _m("payout_ratio", FUNDAMENTALS, "Share of income paid out", percent=True, twin=True),
+    _m("fcf_margin", FUNDAMENTALS, "Free cash flow over revenue", percent=True, twin=True),
+    _m("net_debt_to_ebitda", FUNDAMENTALS, "Net debt over EBITDA", 0),
+    _m("rule_of_40", FUNDAMENTALS, "Growth plus margin", 0.4, percent=True),
+    _m("net_interest_margin", FUNDAMENTALS, "Interest margin", percent=True),
+    _m("efficiency_ratio", FUNDAMENTALS, "Cost over income", percent=True, twin=True),
+    _m("roa", FUNDAMENTALS, "Asset return", percent=True),
+    _m("equity_to_assets", FUNDAMENTALS, "Equity over assets", percent=True),
+    _m("provision_ratio", FUNDAMENTALS, "Loan provisions over revenue", 0, percent=True, twin=True),
+    _m("combined_ratio", FUNDAMENTALS, "Claims and costs over premiums", 1.0, percent=True, twin=True),
+    _m("loss_ratio", FUNDAMENTALS, "Claims over premiums", percent=True, twin=True),
+    _m("expense_ratio", FUNDAMENTALS, "Costs over premiums", percent=True, twin=True),
+    _m("net_investment_yield", FUNDAMENTALS, "Yield of investments", percent=True),
+    _m("reserve_growth", FUNDAMENTALS, "Growth of claims reserve", 0, percent=True),
+    _m("inventory_turnover", FUNDAMENTALS, "Inventory turns a year"),
+    _m("dio", FUNDAMENTALS, "Days in inventory"),
+    _m("dso", FUNDAMENTALS, "Days until customers pay"),
+    _m("dpo", FUNDAMENTALS, "Days until suppliers are paid"),
+    _m("cash_conversion_cycle", FUNDAMENTALS, "Days of cash tied up", 0),
+    _m("rd_intensity", FUNDAMENTALS, "Research over revenue", percent=True, twin=True),
+    _m("capex_intensity", FUNDAMENTALS, "Capital spending over revenue", percent=True, twin=True),
+    _m("operating_leverage", FUNDAMENTALS, "Income growth over revenue growth", 1.0),
+    _m("operating_income_yoy_growth", FUNDAMENTALS, "Growth of operating income", 0, percent=True),
+    _m("ffo_margin", FUNDAMENTALS, "Funds from operations over revenue", percent=True, twin=True),
+    _m("pe_ratio", VALUATION, "Price over earnings", harmonic=True),
+    _m("pb_ratio", VALUATION, "Price over book value"),
+    _m("pfcf_ratio", VALUATION, "Price over free cash flow", harmonic=True),
+    _m("ev_fcf", VALUATION, "Enterprise value over free cash flow"),
+    _m("pfcf_ex_sbc", VALUATION, "Price over free cash flow less stock pay"),
+    _m("ev_ebitda", VALUATION, "Enterprise value over EBITDA", harmonic=True),
+    _m("ev_sales", VALUATION, "Enterprise value over sales"),
+    _m("dividend_yield", VALUATION, "Dividend over price", percent=True),
+    _m("p_tbv", VALUATION, "Price over tangible book value", harmonic=True),
+    _m("p_ppnr", VALUATION, "Price over income before provisions", harmonic=True),
+    _m("p_core_earnings", VALUATION, "Price over core earnings", harmonic=True),
+    _m("p_ffo", VALUATION, "Price over funds from operations", harmonic=True),
+    _m("pe_to_revenue_growth", VALUATION, "Earnings multiple over revenue growth"),
+    _m("Revenue", GROWTH, "Quarterly revenue against a year ago", 0, percent=True),
+    _m("NetIncomeLoss", GROWTH, "Quarterly net income against a year ago", 0, percent=True),
+    _m("SharesOutstanding", GROWTH, "Share count against a year ago", 0, percent=True),
+    _m("EPS_TTM_CALC", GROWTH, "Yearly earnings per share against a year ago", 0, percent=True),
+    _m("FCF_TTM", GROWTH, "Yearly free cash flow against a year ago", 0, percent=True),
+    _m("OperatingIncomeLoss_TTM", GROWTH, "Yearly operating income against a year ago", 0, percent=True),
+    _m("StockholdersEquity", GROWTH, "Equity against a year ago", 0, percent=True),
+    _m("PPNR", GROWTH, "Yearly income before provisions against a year ago", 0, percent=True),
+    _m("CoreOperatingEarnings", GROWTH, "Yearly core earnings against a year ago", 0, percent=True),
+    _m("FFO_TTM", GROWTH, "Yearly funds from operations against a year ago", 0, percent=True),
 )
 
 # Published name of the five-year average of each harmonic multiple.

@@ -29,13 +29,18 @@ def build_session(app_name: str = "quarterdeck", master: str | None = None, **co
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the cluster's shared checkpoint folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a session
-    that names none (a test) gets a temporary one.  Checkpoint files survive the loss of
-    an executor, so later stages never recompute what is behind the cut.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Where it names none,
+    a session on one machine gets a temporary folder; on a cluster, whose executors share no
+    local disk, that is an error.  Checkpoint files survive the loss of an executor, so later
+    stages never recompute what is behind the cut.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quarterdeck-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quarterdeck-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -63,11 +63,12 @@ def identifier_map(entries: DataFrame, overrides: DataFrame | None = None,
                    min_entries: int = K.MIN_IDENTIFIER_ENTRIES) -> DataFrame:
     """``entries(ticker, cik_str)`` to zero-padded identifiers; overrides win.
 
-    A file with implausibly few entries fails the job instead of yielding a thin universe.
+    Of several identifiers the greatest number wins.  A file with implausibly few entries
+    fails the job instead of yielding a thin universe.
     """
     padded = entries.groupBy("ticker").agg(
-        F.lpad(F.max(F.col("cik_str").cast("string")), 10, "0").alias("cik"))
-    found = padded.count()
+        F.lpad(F.max(F.col("cik_str").cast("long")).cast("string"), 10, "0").alias("cik"))
+    found = entries.select("ticker").distinct().limit(min_entries).count()
     if found < min_entries:
         raise ValueError(f"identifier file yields only {found} entries, fewer than {min_entries}")
     if overrides is None:

@@ -1,9 +1,4 @@
-"""Registered queries against their reference SQL on the smallest tables.
-
-A few representative ones by default; ``ALL_STATEMENTS=1`` runs every one.
-"""
-
-import os
+"""Every registered query that has reference SQL against it, on the smallest tables."""
 
 import pytest
 
@@ -11,10 +6,6 @@ import __spark_entry__ as entry
 from compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("revenue_ttm_growth", "latest_values", "ratio_guarded", "qoq_flags",
-         "asof_price_tolerance", "canonical_ends", "staleness", "unit_choice", "q4_derive",
-         "restatement_pairs", "identifier_map", "visibility_matrix")
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_STATEMENTS") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -22,11 +13,11 @@ def connection():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_matches_reference_sql(spark, connection, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert difference(got, connection.execute(entry.oracle_sql()[name]).df()) is None
 
 
 def test_every_query_but_the_stateful_one_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"scale_repair"}
+    assert set(entry.QUERIES) - set(entry.oracle_sql()) == {"scale_repair"}

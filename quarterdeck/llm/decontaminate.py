@@ -34,6 +34,8 @@ RADIUS = 24
 BLOCKS = 5
 MOST_BENCHMARK_BYTES = 256 << 20
 WORD = re.compile(r"\w+")
+#: pieces between white space that a task remembers
+REMEMBERED = 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,14 +46,34 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def shingle_hashes(ids: np.ndarray, width: int) -> np.ndarray:
-    """One hash for every ``width`` consecutive word ids."""
-    hashes = np.zeros(max(0, len(ids) - width + 1), np.uint64)
+def shingles_at(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` word ids from each of ``starts``."""
+    hashes = np.zeros(len(starts), np.uint64)
     for at in range(width):
-        hashes = mixed(hashes * STEP + ids[at:at + len(hashes)])
+        hashes = mixed(hashes * STEP + ids[starts + at].astype(np.uint64))
     return hashes
 
 
+class Pieces(dict):
+    """Ids of the words between white space; -1 for pieces of none or several words, see ``uneven``."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary, self.uneven = vocabulary, {}
+
+    def clear(self):
+        super().clear()
+        self.uneven.clear()
+
+    def __missing__(self, piece: str) -> int:
+        words = WORD.findall(piece)
+        ids = [self.vocabulary.get(w, 0) for w in words]
+        if len(ids) != 1:
+            self.uneven[piece] = ids
+        self[piece] = ids[0] if len(ids) == 1 else -1
+        return self[piece]
+
+
 def window_prints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """SimHash of ``size`` consecutive shingle hashes from each of ``starts``."""
     first, last = starts.min(), starts.max() + size
@@ -97,33 +119,62 @@ class Matcher:
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
                 width = min(WORDS, len(ids))
                 by_size[width, len(ids) - width + 1].append((item_id, ids))
-        self.sizes, hashes = {}, defaultdict(list)
+        self.sizes, hashes = {}, defaultdict(dict)
         for (width, size), members in by_size.items():
-            each = [shingle_hashes(np.array(ids, np.uint64), width) for _, ids in members]
-            hashes[width].extend(each)
+            each = [shingles_at(np.array(ids), np.arange(size), width) for _, ids in members]
+            for value in {v for h in each for v in h.tolist()}:
+                hashes[width].setdefault(value, []).append(size)
             prints = np.concatenate([window_prints(h, np.zeros(1, np.int64), size) for h in each])
             shingles = [Counter(zip(*(ids[k:] for k in range(width)))) for _, ids in members]
             self.sizes[width, size] = (BlockIndex(prints), [i for i, _ in members], shingles)
-        self.known = {width: np.unique(np.concatenate(h)) for width, h in hashes.items()}
+        self.pieces = Pieces(self.vocabulary)
+        # shingles of items in order, and the sizes of the items that have them
+        self.known = {width: np.array(sorted(h), np.uint64) for width, h in hashes.items()}
+        self.sizes_of = {width: [h[v] for v in sorted(h)] for width, h in hashes.items()}
+
+    def word_ids(self, text: str) -> np.ndarray:
+        """Ids of the text's words; zero for words of no item."""
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        # one look-up per piece between white space; most pieces hold one word
+        pieces = text.lower().split()
+        ids = np.array(list(map(self.pieces.__getitem__, pieces)), np.int64)
+        if (ids >= 0).all():
+            return ids
+        uneven = self.pieces.uneven
+        return np.array([i for p, one in zip(pieces, ids.tolist()) for i in (uneven[p] if one < 0 else (one,))],
+                        np.int64)
 
     def find(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of each item's best window."""
-        words = WORD.findall(text.lower())
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        ids = self.word_ids(text)
         best: dict[int, tuple[float, int, int]] = {}
         for width, known in self.known.items():
             if len(ids) < width:
                 continue
-            hashes = shingle_hashes(ids, width)
-            hits = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-            if not hits.any():
-                continue
-            sums = np.concatenate(([0], np.cumsum(hits)))
-            for (own, size), (index, item_ids, shingles) in self.sizes.items():
-                if own != width or size > len(hashes):
-                    continue
+            # a shingle of an item has no word that is in no item
+            whole = ids[:len(ids) - width + 1] > 0
+            for at in range(1, width):
+                whole &= ids[at:at + len(whole)] > 0
+            places = np.flatnonzero(whole)
+            own = shingles_at(ids, places, width)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            found = known[at] == own
+            by_size: dict[int, list[int]] = defaultdict(list)
+            for place, which in zip(places[found].tolist(), at[found].tolist()):
+                for size in self.sizes_of[width][which]:
+                    by_size[size].append(place)
+            hashes = None
+            for size, hit_places in by_size.items():
                 enough = math.ceil(self.similarity * size - 1e-9)
+                if size > len(whole) or len(hit_places) < enough:
+                    continue
+                if hashes is None:
+                    hashes = shingles_at(ids, np.arange(len(whole)), width)
+                hits = np.zeros(len(whole), np.int32)
+                hits[hit_places] = 1
+                sums = np.concatenate(([0], np.cumsum(hits)))
+                index, item_ids, shingles = self.sizes[width, size]
                 starts = np.flatnonzero(sums[size:] - sums[:-size] >= enough)
                 if not len(starts):
                     continue

@@ -45,17 +45,19 @@ THRESHOLD = 0.7
 #: characters beyond the sample's most frequent ones share one id
 MOST_CHARACTERS = (1 << BITS) - 4
 EDGE, END, OTHER = 1, 2, 3
-WORD = re.compile(r"\w+")
+NOT_SPELT = re.compile(r"\W+")
 #: words whose score a task remembers
 REMEMBERED = 200_000
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """What white space separates; only letters, digits and underscores of it are spelt."""
+    return text.lower().split()
 
 
 def sequences(words: list[str], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """ORDER-character sequences of all words packed into one long each, and each word's number of them."""
+    words = [NOT_SPELT.sub("", w) for w in words]
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     stream = np.full(int(lengths.sum()) + (ORDER - 1) * len(words), EDGE, np.int64)
     ends = np.cumsum(lengths + ORDER - 1) - 1
@@ -73,12 +75,12 @@ def sequences(words: list[str], ids: dict[str, int]) -> tuple[np.ndarray, np.nda
     return packed[real], lengths
 
 
-def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Values of ``wanted`` among sorted ``keys``; zero where absent."""
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, absent: float = 0.0) -> np.ndarray:
+    """Values of ``wanted`` among sorted ``keys``, or ``absent``."""
     if not len(keys):
-        return np.zeros(len(wanted))
+        return np.full(len(wanted), absent)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
+    return np.where(keys[at] == wanted, values[at], absent)
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +109,11 @@ class Counts:
         total = np.where(seen, total, 1)
         return np.where(seen, (own + DISCOUNT * kinds * lower) / total, lower)
 
+    def share_left(self, contexts: np.ndarray) -> np.ndarray:
+        """What ``contexts`` leave to shorter sequences: all of it where they were not seen."""
+        total = look_up(self.contexts, self.totals, contexts)
+        return np.where(total > 0, DISCOUNT * look_up(self.contexts, self.kinds, contexts) / np.maximum(total, 1), 1.0)
+
 
 @dataclass
 class Models:
@@ -114,36 +121,61 @@ class Models:
 
     ids: dict[str, int]
     shared: list[Counts]  # from one character to ORDER - 1
-    toxic: Counts
-    ordinary: Counts
+    toxic: Counts | None
+    ordinary: Counts | None
+    seen: tuple[np.ndarray, np.ndarray] | None = None
+    left: tuple[np.ndarray, np.ndarray] | None = None
     slope: float = 1.0
     offset: float = 0.0
 
+    def compile(self) -> None:
+        """Tabulate the differences: of sequences that a class has seen, and of contexts.
+
+        A sequence that neither class has seen goes to the shared counts in both, so that only
+        the shares that its context leaves to them differ.
+        """
+        keys = np.union1d(self.toxic.keys, self.ordinary.keys)
+        lower = np.full(len(keys), 1.0 / (1 << BITS))
+        for length, counts in enumerate(self.shared, 1):
+            lower = counts.interpolate(keys & ((1 << BITS * length) - 1), lower)
+        self.seen = keys, np.log(self.toxic.interpolate(keys, lower)) - np.log(self.ordinary.interpolate(keys, lower))
+        contexts = np.union1d(self.toxic.contexts, self.ordinary.contexts)
+        self.left = contexts, np.log(self.toxic.share_left(contexts)) - np.log(self.ordinary.share_left(contexts))
+
     def differences(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word under the toxic model less that under the ordinary one."""
         packed, lengths = sequences(words, self.ids)
-        lower = np.full(len(packed), 1.0 / (1 << BITS))
-        for length, counts in enumerate(self.shared, 1):
-            lower = counts.interpolate(packed & ((1 << BITS * length) - 1), lower)
-        each = np.log(self.toxic.interpolate(packed, lower)) - np.log(self.ordinary.interpolate(packed, lower))
+        each = look_up(*self.seen, packed, np.nan)
+        absent = np.flatnonzero(np.isnan(each))
+        each[absent] = look_up(*self.left, packed[absent] >> BITS)
         return np.add.reduceat(each, np.concatenate(([0], np.cumsum(lengths)[:-1])))
 
     def scorer(self):
         """Texts -> logarithm of the mean excess per word; words met before are remembered."""
         known: dict[str, float] = {}
 
+        def learn(words: set[str]):
+            if words:
+                new = list(words)
+                known.update(zip(new, np.maximum(self.differences(new) - MARGIN, 0).tolist()))
+
         def score(texts: list[str]) -> np.ndarray:
             out = np.full(len(texts), np.log(FLOOR))
-            for i, text in enumerate(texts):
-                words = words_of(text)
-                new = [w for w in set(words) if w not in known]
-                if new:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                        new = list(set(words))
-                    known.update(zip(new, np.maximum(self.differences(new) - MARGIN, 0).tolist()))
-                if words:
-                    out[i] = np.log(FLOOR + sum(map(known.__getitem__, words)) / len(words))
+            at = 0
+            while at < len(texts):
+                # texts of about a million characters at a time
+                if len(known) > REMEMBERED:
+                    known.clear()
+                part, size = [], 0
+                while at + len(part) < len(texts) and (not part or size < 1 << 20):
+                    text = texts[at + len(part)]
+                    size += len(text)
+                    part.append(words_of(text))
+                learn(set().union(*part).difference(known))
+                for i, words in enumerate(part, at):
+                    if words:
+                        out[i] = np.log(FLOOR + sum(map(known.__getitem__, words)) / len(words))
+                at += len(part)
             return out
 
         return score
@@ -215,6 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                 for part in (found[found.toxic == k] for k in (0, 1))]
     models = Models(alphabet, shared_counts(docs, alphabet, np.unique(found.key.to_numpy())),
                     by_class[1], by_class[0])
+    models.compile()
     held = texts.filter("part = 0").select("text", "toxic", "weight")
 
     def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,6 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         for batch in batches:
             yield pd.DataFrame({"d": score(batch.text.tolist()), "toxic": batch.toxic, "weight": batch.weight})
 
+    models.shared, models.toxic, models.ordinary = [], None, None  # tasks need the tables alone
     scale = held.mapInPandas(differences, "d double, toxic int, weight double").toPandas()
     if scale.toxic.nunique() == 2:
         models.slope, models.offset = fit_scale(

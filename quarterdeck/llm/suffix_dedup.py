@@ -16,7 +16,8 @@ all of them are alone, so the strings are first dealt into groups that can be or
   left, and to the right for the others.  Strings that are equal agree in the longer anchor
   too.  After at most a few rounds the anchor is the whole string.
 
-What is left, the stretches of small groups, is ordered, many groups at a time.  Nothing is
+What is left, the stretches of small groups, is cut to what can equal another around the
+anchor, and ordered, many groups at a time.  Nothing is
 ever gathered by document or by anchor beyond GROUP stretches and a document's own length.
 """
 
@@ -158,13 +159,15 @@ def find_stretches(rows: DataFrame) -> DataFrame:
 def settle(items: DataFrame) -> DataFrame:
     """Add to stretches whose key occurs again: ``copies`` (equal ones under the key), ``hot``
     (the key has more than GROUP different ones) and ``compare`` (to be compared with others:
-    the first of equal ones, where the key has different ones)."""
-    each = items.groupBy("key", "same").agg(F.count(F.lit(1)).alias("copies"), F.min("row_id").alias("first_row"))
-    keys = each.groupBy("key").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1")
+    one of equal ones, where the key has different ones and not all of them occur twice)."""
+    place = F.xxhash64("row_id", "start")
+    each = items.groupBy("key", "same").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
+    keys = each.groupBy("key").agg(
+        F.sum("copies").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest")).filter("total > 1")
     return items.join(each, ["key", "same"]).join(keys, "key").withColumns({
         "hot": F.col("kinds") > GROUP,
-        "compare": (F.col("kinds") > 1) & ((F.col("copies") == 1) | (F.col("row_id") == F.col("first_row")))}).drop(
-        "total", "kinds", "first_row", "same")
+        "compare": (F.col("kinds") > 1) & (F.col("fewest") == 1) & ((F.col("copies") == 1) | (place == F.col("first")))}
+    ).drop("total", "kinds", "fewest", "first", "same")
 
 
 def twice(known: DataFrame) -> DataFrame:
@@ -266,26 +269,66 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()))
 
 
+def common(x: bytes, y: bytes) -> int:
+    """Length of the longest common prefix."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def reach(texts: list[bytes]) -> list[int]:
+    """For each text, the longest prefix that it has in common with any other."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    out = [0] * len(texts)
+    for i, j in zip(order, order[1:]):
+        shared = common(texts[i], texts[j])
+        out[i], out[j] = max(out[i], shared), max(out[j], shared)
+    return out
+
+
+def crops(members: list[dict]) -> list[tuple[int, bytes]]:
+    """For each stretch of a group: first byte and bytes of the part that some other can equal.
+
+    Around the common anchor, a stretch can equal others no farther to either side than the
+    nearest of them does.  Parts shorter than LENGTH are empty: nothing in them occurs twice.
+    """
+    distinct = {(m["bytes"], m["anchor"]): k for k, m in enumerate(members)}
+    if len(distinct) == 1:
+        return [(0, m["bytes"]) for m in members]
+    width = members[0]["width"]
+    before = reach([text[:a][::-1] for text, a in distinct])
+    after = reach([text[a + width:] for text, a in distinct])
+    parts = {}
+    for (text, a), left, right in zip(distinct, before, after):
+        parts[text, a] = (a - left, text[a - left:a + width + right] if left + width + right >= LENGTH else b"")
+    return [parts[m["bytes"], m["anchor"]] for m in members]
+
+
 def ordered(items: DataFrame) -> DataFrame:
     """row_id, start, strings of what occurs twice within the small groups."""
-    groups = items.groupBy("key").agg(F.collect_list(F.struct("row_id", "start", "settled", "bytes")).alias("members"))
+    groups = items.groupBy("key").agg(F.collect_list(F.struct(
+        "row_id", "start", "anchor", "width", "settled", "bytes")).alias("members"))
 
-    def compare(members: list[dict]) -> Iterator[tuple[int, int, int]]:
+    def compare(held: list[tuple[dict, int, bytes]]) -> Iterator[tuple[int, int, int]]:
         """Many whole groups at once; equal bytes of different groups are equal strings all the same."""
-        distinct = {m["bytes"]: None for m in members}
-        found = dict(zip(distinct, map(runs, repeated_starts(list(distinct)))))
         seen: dict[bytes, int] = {}
-        for m in members:
-            seen[m["bytes"]] = seen.get(m["bytes"], 0) + 1
-        for m in members:
+        for _, _, part in held:
+            seen[part] = seen.get(part, 0) + 1
+        found = dict(zip(seen, map(runs, repeated_starts(list(seen)))))
+        for m, at, part in held:
             if not m["settled"]:
-                whole = [(0, len(m["bytes"]) - LENGTH + 1)]
-                for first, count in whole if seen[m["bytes"]] > 1 else found[m["bytes"]]:
-                    yield m["row_id"], m["start"] + first, count
+                whole = [(0, len(part) - LENGTH + 1)]
+                for first, count in whole if seen[part] > 1 else found[part]:
+                    yield m["row_id"], m["start"] + at + first, count
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(members):
-            rows = list(compare(members))
+        def emit(held):
+            rows = list(compare(held))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.int32())], ["row_id", "start", "strings"])
@@ -293,8 +336,10 @@ def ordered(items: DataFrame) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for members in batch.column(0).to_pylist():
-                held += members
-                size += sum(len(m["bytes"]) for m in members)
+                for m, (at, part) in zip(members, crops(members)):
+                    if part:
+                        held.append((m, at, part))
+                        size += len(part)
                 if size > ORDERED:
                     yield emit(held)
                     held, size = [], 0

@@ -39,18 +39,47 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     while at >= 0:
         own = members[at]
         order.append(at)
+        if len(own) == 1:
+            i = own[0]
+            taken[i] = 1
+            j = jump[i]
+            if j >= 0 and taken[j]:
+                while j >= 0 and taken[j]:
+                    j = jump[j]
+                while jump[i] != j:
+                    k = jump[i]
+                    jump[i] = j
+                    i = k
+            previous[own[0]] = j
+            if j >= 0 and len(members[group[j]]) > 1:
+                g = group[j]
+                left, new = members[g], len(members)
+                last = left.pop()
+                if last != j:
+                    left[slot[j]] = last
+                    slot[last] = slot[j]
+                slot[j] = 0
+                group[j] = new
+                members.append([j])
+                up = above[g]
+                below.append(g)
+                above.append(up)
+                above[g] = below[up] = new
+            at = below[at]
+            continue
         for i in own:
             taken[i] = 1
         pointed: dict[int, int] = {}
         for i in own:
             j = jump[i]
             if j >= 0 and taken[j]:
-                path = [i]
                 while j >= 0 and taken[j]:
-                    path.append(j)
                     j = jump[j]
-                for k in path:
+                k = i
+                while jump[k] != j:
+                    after = jump[k]
                     jump[k] = j
+                    k = after
             previous[i] = j
             if j >= 0:
                 pointed[j] = pointed.get(j, 0) + 1

@@ -30,6 +30,9 @@ try:
 except ImportError:
     llm_queries = None
 
+#: queries about absence read facts and prices that lack some values
+ABOUT_GAPS = frozenset("latest_values latest_rows scale_reference coverage_flags empty_panels null_columns "
+                       "available_concepts share_history_absent tickers_without_data".split())
 SMOKE_DIR = "/root/testdata/sf0.001"
 YEARS = 5
 
@@ -46,8 +49,8 @@ class Data:
     Frames that a query reads several times are written once to the checkpoint folder.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, gaps: bool = False):
+        self.spark, self.sf_dir, self.gaps = spark, sf_dir, gaps
 
     def table(self, name: str) -> DataFrame:
         return T.read_table(self.spark, self.sf_dir, name)
@@ -58,7 +61,7 @@ class Data:
 
     @property
     def facts(self) -> DataFrame:
-        return T.facts_from_lineitem(self.lineitem)
+        return T.facts_from_lineitem(self.lineitem, gaps=self.gaps)
 
     @property
     def sparse(self) -> DataFrame:
@@ -66,7 +69,7 @@ class Data:
 
     @property
     def prices(self) -> DataFrame:
-        return T.prices_from_lineitem(self.lineitem)
+        return T.prices_from_lineitem(self.lineitem, self.gaps)
 
     @property
     def quotes(self) -> DataFrame:
@@ -640,10 +643,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(build: Callable[[Data], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: build(Data(spark, sf_dir))
+    def bind(name: str, build: Callable[[Data], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: build(Data(spark, sf_dir, name in ABOUT_GAPS))
 
-    return {name: bind(build) for name, build in QUERIES.items()} | (
+    return {name: bind(name, build) for name, build in QUERIES.items()} | (
         llm_queries.QUERIES if llm_queries else {})
 
 

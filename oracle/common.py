@@ -15,20 +15,23 @@ from quarterdeck.sources import tables as T
 AS_OF, CUTOFF = "2002-02-15", "2000-06-30"
 
 CTES: dict[str, str] = {}
+GAPPED_CTES: dict[str, str] = {}
 
 
-def statement(final: str) -> str:
+def statement(final: str, gaps: bool = False) -> str:
+    """``final`` with the CTEs it needs; with ``gaps``, on facts and prices that lack some values."""
+    ctes = CTES | GAPPED_CTES if gaps else CTES
     names, todo = set(), [final]
     while todo:
         text = todo.pop()
         for name in CTES:
             if name not in names and re.search(rf"\b{name}\b", text):
                 names.add(name)
-                todo.append(CTES[name])
+                todo.append(ctes[name])
     ordered = [n for n in CTES if n in names]
     if not ordered:
         return final
-    body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in ordered)
+    body = ",\n".join(f"{n} AS MATERIALIZED ({ctes[n]})" for n in ordered)
     return f"WITH {body}\n{final}"
 
 
@@ -58,25 +61,31 @@ def _mix(mix: dict[str, int]) -> str:
 
 
 _cells = ", ".join(
+    f"{{'concept': '{c}', 'value': CAST({_mix(m)} AS DOUBLE)}}" for c, m in T.FACT_MIX.items())
+_gapped_cells = ", ".join(
     f"{{'concept': '{c}', 'value': CASE WHEN (s + year(pe) * 4 + quarter(pe) + {i}) % 23 <> 0 "
     f"THEN CAST({_mix(m)} AS DOUBLE) END, 'kept': (s + {i}) % 17 <> 16}}"
     for i, (c, m) in enumerate(T.FACT_MIX.items()))
 CTES["f1"] = f"""
 SELECT 'S' || s AS ticker, x.concept AS concept, pe, x.value AS value
-FROM (SELECT s, pe, unnest([{_cells}]) AS x FROM sums) WHERE x.kept"""
+FROM (SELECT s, pe, unnest([{_cells}]) AS x FROM sums)"""
+GAPPED_CTES["f1"] = f"""
+SELECT 'S' || s AS ticker, x.concept AS concept, pe, x.value AS value
+FROM (SELECT s, pe, unnest([{_gapped_cells}]) AS x FROM sums) WHERE x.kept"""
 CTES["f2"] = f"""
 SELECT 'C' || o_custkey AS ticker, 'Revenue' AS concept, {_QEND.format(c='o_orderdate')} AS pe,
   CAST(sum({cents('o_totalprice')}) AS DOUBLE) AS value
 FROM orders GROUP BY ALL"""
-CTES["px"] = f"""
-SELECT 'S' || d.l_suppkey AS ticker, d.day AS dt,
-  CASE WHEN (d.l_suppkey + day(d.day)) % 13 <> 0 THEN d.close END AS close,
+_PX = f"""
+SELECT 'S' || d.l_suppkey AS ticker, d.day AS dt, #close# AS close,
   CASE WHEN d.day = sp.split_day THEN 2.0 ELSE 0.0 END AS stock_split
 FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day,
         CAST(sum({_PRICE} * 100) AS DOUBLE) / sum(CAST(l_quantity AS BIGINT)) AS close
       FROM lineitem GROUP BY ALL) d
 LEFT JOIN (SELECT l_suppkey, min(CAST(l_shipdate AS DATE)) AS split_day FROM lineitem
            WHERE year(l_shipdate) = 1998 AND l_suppkey % 10 = 0 GROUP BY ALL) sp USING (l_suppkey)"""
+CTES["px"] = _PX.replace("#close#", "d.close")
+GAPPED_CTES["px"] = _PX.replace("#close#", "CASE WHEN (d.l_suppkey + day(d.day)) % 13 <> 0 THEN d.close END")
 CTES["quotes"] = f"""
 SELECT 'S' || l_suppkey AS ticker, CAST(cents * 100 AS DOUBLE) / qty AS price,
   CAST(qty // (16 + l_suppkey % 25) AS DOUBLE) AS shares_outstanding

@@ -193,5 +193,10 @@ WHERE ticker NOT IN (SELECT ticker FROM f1)""",
 }
 
 
+#: statements about absence: on facts and prices that lack some values
+ABOUT_GAPS = frozenset("latest_values latest_rows scale_reference coverage_flags empty_panels null_columns "
+                       "available_concepts share_history_absent tickers_without_data".split())
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(sql) for name, sql in STATEMENTS.items()}
+    return {name: statement(sql, name in ABOUT_GAPS) for name, sql in STATEMENTS.items()}

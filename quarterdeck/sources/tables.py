@@ -90,19 +90,25 @@ def mixed_value(mix: dict[str, int]) -> str:
     return " + ".join(f"{name} * ({factor})" for name, factor in mix.items())
 
 
-def facts_from_lineitem(lineitem: DataFrame, concepts: tuple[str, ...] = FACT_CONCEPTS) -> DataFrame:
+def _present(place: str, every: int, gaps: bool) -> str:
+    """SQL condition that fails at one place in ``every``, if there are to be gaps."""
+    return f"({place}) % {every} <> 0" if gaps else "true"
+
+
+def facts_from_lineitem(lineitem: DataFrame, concepts: tuple[str, ...] = FACT_CONCEPTS,
+                        gaps: bool = False) -> DataFrame:
     """Long facts per supplier quarter.
 
-    Some rows carry no value (the row stays) and some companies lack a concept altogether,
-    so that presence and absence both occur.
+    With ``gaps``, for queries about absence, some rows carry no value (the row stays) and
+    some companies lack a concept altogether.
     """
     sums = quarter_sums(lineitem)
     quarter = "(year(end) * 4 + quarter(end))"
     cells = ", ".join(
         f"named_struct('concept', '{concept}', 'value', "
-        f"CASE WHEN (l_suppkey + qi + {position}) % 23 <> 0 "
+        f"CASE WHEN {_present('l_suppkey + qi + ' + str(position), 23, gaps)} "
         f"THEN double({mixed_value(FACT_MIX[concept])}) END, "
-        f"'kept', (l_suppkey + {position}) % 17 <> 16)"
+        f"'kept', {_present('l_suppkey + 1 + ' + str(position), 17, gaps)})"
         for position, concept in enumerate(FACT_CONCEPTS) if concept in concepts)
     rows = sums.withColumn("qi", F.expr(quarter)).select(
         ticker_of("l_suppkey").alias("ticker"), "end", F.expr(f"inline(array({cells}))"))
@@ -117,18 +123,18 @@ def sparse_facts_from_orders(orders: DataFrame) -> DataFrame:
         "ticker", F.lit("Revenue").alias("concept"), "end", "value")
 
 
-def prices_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """Daily close per supplier; every tenth supplier splits 2:1 on its first 1998 trade."""
+def prices_from_lineitem(lineitem: DataFrame, gaps: bool = False) -> DataFrame:
+    """Daily close per supplier, missing on some days with ``gaps``; every tenth supplier splits 2:1 on its first 1998 trade."""
     daily = lineitem.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date")).agg(
         (F.sum(_cents("l_extendedprice") * 100).cast("double")
          / F.sum(F.col("l_quantity").cast("long"))).alias("close"),
         F.count(F.lit(1)).alias("n"))
     splits = (lineitem.filter((F.year("l_shipdate") == 1998) & (F.col("l_suppkey") % 10 == 0))
               .groupBy("l_suppkey").agg(F.min(F.col("l_shipdate").cast("date")).alias("split_day")))
-    untraded = (F.col("l_suppkey") + F.dayofmonth("date")) % 13 == 0
+    traded = F.expr(_present("l_suppkey + dayofmonth(date)", 13, gaps))
     return daily.join(splits, "l_suppkey", "left").select(
         ticker_of("l_suppkey").alias("ticker"), "date",
-        F.when(~untraded, F.col("close")).alias("close"),
+        F.when(traded, F.col("close")).alias("close"),
         F.when(F.col("date") == F.col("split_day"), 2.0).otherwise(0.0).alias("stock_split"))
 
 

@@ -279,6 +279,43 @@ def duplicate_keys(d: Data) -> DataFrame:
     return reshape.duplicates(facts.unionByName(facts.filter(F.col("concept") == "Goodwill")))
 
 
+def _two_frames(d: Data) -> tuple[DataFrame, DataFrame]:
+    rows = d.facts.filter(F.col("concept").isin("LongTermDebt", "CashAndEquivalents"))
+    return tuple(rows.filter(F.col("concept") == c).select("ticker", "end", F.col("value").alias(name))
+                 for c, name in (("LongTermDebt", "debt"), ("CashAndEquivalents", "cash")))
+
+
+@query
+def frame_sum_difference(d: Data) -> DataFrame:
+    debt, cash = _two_frames(d)
+    total = ratios.sum_of_frames(debt, cash, "debt", "cash", "total")
+    net = ratios.difference_of_frames(debt, cash, "debt", "cash", "net")
+    return total.join(net, ["ticker", "end"])
+
+
+@query
+def appended_concept(d: Data) -> DataFrame:
+    debt, cash = _two_frames(d)
+    net = ratios.difference_of_frames(debt, cash, "debt", "cash", "net")
+    return reshape.add_as_concept(d.facts.filter(F.col("concept") == "Goodwill"), net, "net", "NetDebt")
+
+
+@query
+def mean_pivot(d: Data) -> DataFrame:
+    return reshape.pivot_mean(d.facts, ["Revenue", "Goodwill"])
+
+
+@query
+def first_rows(d: Data) -> DataFrame:
+    return reshape.keep_one(d.facts, ["ticker", "concept"], ["end"])
+
+
+@query
+def duplicate_warning(d: Data) -> DataFrame:
+    facts = d.facts
+    return reshape.duplicate_warning(facts.unionByName(facts.filter(F.col("concept") == "Goodwill")))
+
+
 # --- prices, periods, valuation ---------------------------------------------
 
 def _ends(d: Data) -> DataFrame:

@@ -187,6 +187,22 @@ WHERE concept IN ('price', 'shares_outstanding', 'market_cap') GROUP BY ticker""
 ) LEFT JOIN profiles p USING (ticker) GROUP BY ALL""",
     "tickers_without_data": """SELECT DISTINCT ticker FROM (SELECT ticker FROM f2 UNION ALL SELECT ticker FROM f1)
 WHERE ticker NOT IN (SELECT ticker FROM f1)""",
+    "frame_sum_difference": f"""SELECT ticker, {END}, a.value + b.value AS total, a.value - b.value AS net
+FROM (SELECT ticker, pe, value FROM f1 WHERE concept = 'LongTermDebt') a
+JOIN (SELECT ticker, pe, value FROM f1 WHERE concept = 'CashAndEquivalents') b USING (ticker, pe)""",
+    "appended_concept": f"""SELECT ticker, concept, {END}, value FROM f1 WHERE concept = 'Goodwill'
+UNION ALL SELECT ticker, 'NetDebt', {END}, a.value - b.value
+FROM (SELECT ticker, pe, value FROM f1 WHERE concept = 'LongTermDebt') a
+JOIN (SELECT ticker, pe, value FROM f1 WHERE concept = 'CashAndEquivalents') b USING (ticker, pe)""",
+    "mean_pivot": f"""SELECT ticker, {END}, avg(value) FILTER (concept = 'Revenue') AS Revenue,
+  avg(value) FILTER (concept = 'Goodwill') AS Goodwill
+FROM f1 WHERE concept IN ('Revenue', 'Goodwill') AND value IS NOT NULL GROUP BY ticker, pe""",
+    "first_rows": f"""SELECT ticker, concept, {END}, value FROM f1
+QUALIFY row_number() OVER (PARTITION BY ticker, concept ORDER BY pe) = 1""",
+    "duplicate_warning": f"""SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows,
+  coalesce(sum(n), 0) > {K.DUPLICATE_WARNING_ROWS} AS warn FROM (
+  SELECT count(*) AS n FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f1 WHERE concept = 'Goodwill')
+  GROUP BY ticker, concept, pe HAVING count(*) > 1)""",
     "duplicate_keys": f"""SELECT ticker, concept, {END}, count(*) AS n_rows FROM (
   SELECT * FROM f1 UNION ALL SELECT * FROM f1 WHERE concept = 'Goodwill') GROUP BY ALL HAVING count(*) > 1""",
     **filings.STATEMENTS,

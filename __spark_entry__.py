@@ -20,7 +20,7 @@ from quarterdeck.functions.quantiles import group_median, group_upper_median
 from quarterdeck.operators import asof, filing_periods, periods, ratios, reshape, tag_merge
 from quarterdeck.operators import share_basis, timeseries as ts, visibility
 from quarterdeck.plans import coverage, derived, facts as facts_plan, freshness, metrics
-from quarterdeck.plans import snapshot, valuation, views, wide as wide_plan
+from quarterdeck.plans import refresh, snapshot, valuation, views, wide as wide_plan
 from quarterdeck.session import cut_lineage
 from quarterdeck.sources import filings, prices, published
 from quarterdeck.sources import tables as T
@@ -674,6 +674,27 @@ def tickers_without_data(d: Data) -> DataFrame:
     return published.without_data(requested, d.facts.select("ticker").distinct())
 
 
+# --- the nightly job, without reference SQL ---------------------------------
+
+def _nightly_facts(d: Data) -> DataFrame:
+    series = d.series
+    masked = series.filter((F.col("concept") == "OperatingCashFlow") & (F.month("end") == 6))
+    return facts_plan.build_facts(d.raw, d.sources, prices.split_events(d.prices),
+                                  T.known_bad_from_filings(d.raw), masked)
+
+
+@query
+def nightly_facts(d: Data) -> DataFrame:
+    return _nightly_facts(d).select("ticker", "concept", "end", "value", "ttm_source")
+
+
+@query
+def nightly_snapshot(d: Data) -> DataFrame:
+    result = refresh.calculate(cut_lineage(_nightly_facts(d)), d.prices, d.quotes, d.profiles, AS_OF,
+                               tag_merge.shares_basis(d.readable, d.sources), d.submissions)
+    return refresh.published_frames(result, d.profiles, d.hidden)["current_snapshot"]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Trailing-year revenue and its growth per company."""
     return revenue_ttm_growth(Data(spark, SMOKE_DIR))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck import registry
 from quarterdeck.concept_sources import company_sources_frame, profile_sources_frame
+from quarterdeck.operators.reshape import duplicate_warning
 from quarterdeck.operators.filing_periods import drop_known_bad, in_preferred_unit
 from quarterdeck.operators.tag_merge import expected_concepts, resolved_sources, shares_basis
 from quarterdeck.operators.timeseries import add_growth_column, add_ttm_concepts
@@ -109,6 +110,7 @@ def refresh(inputs: Inputs, root: str, run_id: str, as_of) -> dict:
                        shares_basis(readable, sources), inputs.submissions)
     frames = published_frames(result, inputs.profiles, registry.hidden_frame(spark))
     frames["facts_full"] = cut_lineage(frames["facts_full"])
+    duplicate_warning(frames["facts_full"]).write.parquet(f"{root}/{run_id}/duplicates")
     frames["facts_growth"] = growth_export(frames["facts_full"])
     frames["universe"] = universe(frames["metrics_long"], frames["valuation_history"],
                                   frames["facts_growth"], inputs.profiles)

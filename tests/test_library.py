@@ -93,3 +93,29 @@ def test_a_run_is_readable_only_with_its_manifest(spark, tmp_path):
     assert published.read_frame(spark, root, "r1", "metrics_long", "A").count() == 1
     absent = spark.read.parquet(f"{root}/r1/tickers_without_data")
     assert rows(absent, "ticker") == [("Z",)]
+
+
+def test_median_of_many_tiny_values(spark):
+    from pyspark.sql import functions as F
+
+    from quarterdeck.functions.quantiles import group_median
+    tiny = spark.range(200_001).select(F.lit("g").alias("g"), (F.col("id") * 2.0 ** -40).alias("v"))
+    signed = spark.range(101).select(F.lit("s").alias("g"), (F.col("id") - 50.0).alias("v"))
+    got = {r.g: r.median for r in group_median(tiny.unionByName(signed), ["g"], "v").collect()}
+    assert got == {"g": 100_000 * 2.0 ** -40, "s": 0.0}
+
+
+def test_sweep_lifts_what_both_directions_allow(spark):
+    from pyspark.sql import functions as F
+
+    from quarterdeck.operators.scale_repair import propose_scale
+    rows = {"up": [5e8, 5.1e8, 5e5, None, 5.2e8, 0.0, 5.3e8], "short": [5e8, 5e2, 5e8],
+            "drop": [5e8, 5e8, 5e8, 4e6, 4e6, 4e6, 4e6]}
+    data = [(t, "C", i, v) for t, values in rows.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "ticker string, concept string, day int, value double").withColumn(
+        "end", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")))
+    got = propose_scale(df).orderBy("day").collect()
+    lists = {t: [r.swept for r in got if r.ticker == t] for t in rows}
+    assert lists["up"] == [5e8, 5.1e8, 5e8, None, 5.2e8, 0.0, 5.3e8]
+    assert lists["short"] == rows["short"]
+    assert lists["drop"] == [5e8, 5e8, 5e8, 4e8, 4e8, 4e8, 4e8]

@@ -36,7 +36,7 @@ BITS = 12
 DISCOUNT = 0.75
 #: log-likelihood difference of a word that counts for nothing, and the mean excess that a
 #: text has anyway
-MARGIN = 3.0
+MARGIN = 2.0
 FLOOR = 0.01
 #: labelled texts of a class that are read, at most: three quarters for the models, the rest
 #: to fit the scale of the score

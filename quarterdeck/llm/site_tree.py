@@ -44,6 +44,9 @@ MAIN_TAGS = frozenset(("article", "main"))
 #: below this importance a branch goes, on hosts with enough pages to tell
 THRESHOLD = 0.3
 LEAST_PAGES = 8
+#: removable nodes of all hosts that are sent to every task, at most; parts of a host beyond that
+MOST_SENT = 100_000
+SALTS = 64
 #: weight of the content below a node against its own presentation, per child style
 GAMMA = 0.9
 
@@ -181,6 +184,17 @@ def importance(counts: DataFrame) -> DataFrame:
                          + weight * (1 - F.col("nlogn") / F.col("n") / F.col("log_pages"))).alias("importance"))
 
 
+def with_removed(pages: DataFrame, removed: DataFrame) -> DataFrame:
+    """Add each page's removable nodes.  A short list goes to every task, as its size says; a long
+    one is joined, with each host's pages dealt over SALTS parts."""
+    nodes = removed.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
+    if nodes <= MOST_SENT:
+        return pages.join(F.broadcast(removed), "host", "left")
+    salted = removed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    return pages.withColumn("salt", own).join(salted, ["host", "salt"], "left").drop("salt")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
@@ -191,9 +205,10 @@ def extract(pages: DataFrame) -> DataFrame:
     host, _ = host_and_path(F.col("_url"))
     named = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
                          F.col("url").cast("string").alias("_url")).withColumn("host", host).drop("_url")
-    counts = Scratch(pages.sparkSession, "sitetree").write(style_counts(named), "counts")
-    removed = importance(counts).filter(F.col("importance") < THRESHOLD).groupBy("host").agg(
-        F.collect_set("path").alias("removed"))
+    scratch = Scratch(pages.sparkSession, "sitetree")
+    counts = scratch.write(style_counts(named), "counts")
+    removed = scratch.write(importance(counts).filter(F.col("importance") < THRESHOLD).groupBy("host").agg(
+        F.collect_set("path").alias("removed")), "removed")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,5 +219,5 @@ def extract(pages: DataFrame) -> DataFrame:
                  pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in named.schema}
-    return named.join(removed, "host", "left").select("page_id", "url", "html", "removed").mapInArrow(
+    return with_removed(named, removed).select("page_id", "url", "html", "removed").mapInArrow(
         texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

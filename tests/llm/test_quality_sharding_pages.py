@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quarterdeck.llm import quality, sharding, site_tree
 from tests.llm.helpers import docs, invented, rng
@@ -66,7 +67,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <ul><li>one<li>two</ul></article><section id="comments"><p>Nice!</p></section><div>%s</div><footer>&copy; x</footer>"""
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("most_sent", [100_000, 0])
+def test_pages(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(site_tree, "MOST_SENT", most_sent)
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE % ("same on all pages", f"own {i}")) for i in range(40)]
     rows += [(100, None, None), (101, "http://h0.org/", ""), (102, "x", "plain &amp text"), (103, "http://h9.org", "<p>a<p"),
              (104, "http://h9.org/y", "<div>" * 3000 + "deep"), (105, "http://h9.org/z", PAGE % ("kept", "z")),

@@ -3,9 +3,10 @@
 The pages of a host are merged into one tree of styles: a node is the path of block elements
 (tag and class) that leads to it.  A node's content is important if its texts differ from
 page to page (entropy of each text over the host's pages), its presentation if the sequence
-of its child styles does.  Branches of low importance, and those whose tag or class says
-that they are navigation, advertising and the like, are removed from every page; what is
-left is the main text.
+of its child styles does.  Branches in which no node is important, and those whose tag or
+class says that they are navigation, advertising and the like, are removed from every page;
+what is left is the main text.  Text inside of article and main has no entropy and stays,
+whatever the branches around it are like.
 
 The merged tree is counted as (host, node, text hash) and (host, node, layout hash), combined
 map-side, so that a host with a third of all pages costs no more than its distinct texts.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.scratch import Scratch
@@ -135,10 +136,11 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str
 
 
 def main_text(page: str, removed: frozenset[str]) -> str:
-    """The blocks of ``page`` outside of known and of ``removed`` branches, one per line."""
+    """The blocks of ``page`` outside of known and of ``removed`` branches, one per line; those of
+    article and main are left out by known branches alone."""
     kept = []
-    for path, aside, _, text in blocks(page)[0]:
-        if not aside and not (removed and any(path == r or path.startswith(r + ">") for r in removed)):
+    for path, aside, main, text in blocks(page)[0]:
+        if not aside and (main or not (removed and any(path == r or path.startswith(r + ">") for r in removed))):
             kept.append(text)
     return "\n".join(kept)
 
@@ -167,14 +169,24 @@ def style_counts(pages: DataFrame) -> DataFrame:
         "host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
+def with_above() -> Column:
+    """Paths of a node and of all nodes above it."""
+    steps = F.split(F.col("path"), ">")
+    return F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), ">"))
+
+
+def removable(scores: DataFrame) -> DataFrame:
+    """host, removed: the nodes that have a low importance and no important one below them."""
+    kept = scores.filter(F.col("importance") >= THRESHOLD).select("host", F.explode(with_above()).alias("path")).distinct()
+    return scores.join(kept, ["host", "path"], "left_anti").groupBy("host").agg(F.collect_set("path").alias("removed"))
+
+
 def importance(counts: DataFrame) -> DataFrame:
     """host, path, importance of every node that has content below it, on hosts with enough pages."""
     nodes = counts.groupBy("host", "path", "kind").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count(F.lit(1)).alias("kinds"))
     sizes = nodes.filter(f"kind = 'pages' AND n >= {LEAST_PAGES}").select("host", F.log("n").alias("log_pages"))
-    steps = F.split(F.col("path"), ">")
-    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), ">"))
-    content = nodes.filter("kind = 'content' AND path <> ''").withColumn("path", F.explode(above)).groupBy(
+    content = nodes.filter("kind = 'content' AND path <> ''").withColumn("path", F.explode(with_above())).groupBy(
         "host", "path").agg(F.sum("n").alias("n"), F.sum("nlogn").alias("nlogn"))
     layout = nodes.filter("kind = 'layout'").select(
         "host", "path", (F.log("n") - F.col("nlogn") / F.col("n")).alias("spread"), "kinds")
@@ -207,8 +219,7 @@ def extract(pages: DataFrame) -> DataFrame:
                          F.col("url").cast("string").alias("_url")).withColumn("host", host).drop("_url")
     scratch = Scratch(pages.sparkSession, "sitetree")
     counts = scratch.write(style_counts(named), "counts")
-    removed = scratch.write(importance(counts).filter(F.col("importance") < THRESHOLD).groupBy("host").agg(
-        F.collect_set("path").alias("removed")), "removed")
+    removed = scratch.write(removable(scratch.write(importance(counts), "importance")), "removed")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

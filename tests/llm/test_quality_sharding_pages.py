@@ -88,3 +88,16 @@ def test_pages(spark, monkeypatch, most_sent):
     assert site_tree.extract(clash).count() == len(rows)
     twice = site_tree.extract(df.union(df)).groupBy("page_id", "text").count().filter("count = 2").count()
     assert twice == len(rows)
+
+
+def test_articles_and_own_blocks_stay_beside_repeated_ones(spark):
+    top = "<div class='top'>Site name</div>"
+    page = "<html><body>%s<article><p>Article %d</p></article>%s</body></html>"
+    rows = [(i, f"http://a.org/{i}", page % (top, i, "")) for i in range(10)]
+    rows += [(100 + i, f"http://b.org/{i}", page.replace("article", "main") % (top, i, "")) for i in range(10)]
+    fixed = top + "<div class='x'>Same</div><div class='y'>Same too</div>"
+    rows += [(200 + i, f"http://c.org/{i}", page % (fixed, i, f"<div class='own'>Own {i}</div>")) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in site_tree.extract(df).collect()}
+    assert got == {**{i: f"Article {i}" for i in range(10)}, **{100 + i: f"Article {i}" for i in range(10)},
+                   **{200 + i: f"Article {i}\nOwn {i}" for i in range(10)}}

@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-For every item length, a document's windows of that many words get a SimHash of their
-five-word shingles.  The items' fingerprints are indexed by blocks of bits: two fingerprints
+For every item length, a document's windows of that many words (the whole document, where it
+is shorter) get a SimHash of their five-word shingles.  The items' fingerprints are indexed by blocks of bits: two fingerprints
 within ``RADIUS`` bits differ by at most RADIUS // BLOCKS bits in one of the blocks, so the
 buckets whose block value is that near hold every item within the radius.  Candidates are
 verified on the shingles themselves: the weight (number of occurrences) that the window
@@ -167,7 +167,7 @@ class Matcher:
             hashes = None
             for size, hit_places in by_size.items():
                 enough = math.ceil(self.similarity * size - 1e-9)
-                if size > len(whole) or len(hit_places) < enough:
+                if len(hit_places) < enough:
                     continue
                 if hashes is None:
                     hashes = shingles_at(ids, np.arange(len(whole)), width)
@@ -175,18 +175,19 @@ class Matcher:
                 hits[hit_places] = 1
                 sums = np.concatenate(([0], np.cumsum(hits)))
                 index, item_ids, shingles = self.sizes[width, size]
-                starts = np.flatnonzero(sums[size:] - sums[:-size] >= enough)
+                held_size = min(size, len(whole))  # of an item longer than the document: all of the document
+                starts = np.flatnonzero(sums[held_size:] - sums[:-held_size] >= enough)
                 if not len(starts):
                     continue
-                for start, wanted in zip(starts.tolist(), window_prints(hashes, starts, size)):
+                for start, wanted in zip(starts.tolist(), window_prints(hashes, starts, held_size)):
                     near = index.within(wanted)
                     if len(near):
-                        window = ids[start:start + size + width - 1].tolist()
+                        window = ids[start:start + held_size + width - 1].tolist()
                         held = Counter(zip(*(window[k:] for k in range(width))))
                         for at in near:
                             shared = sum(min(n, shingles[at][s]) for s, n in held.items() if s in shingles[at])
                             if shared >= enough and shared / size > best.get(item_ids[at], (0.0,))[0]:
-                                best[item_ids[at]] = (shared / size, start, size + width - 1)
+                                best[item_ids[at]] = (shared / size, start, held_size + width - 1)
         return [(item, *rest) for item, rest in sorted(best.items())]
 
 
@@ -222,7 +223,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     """One row per document and item found in it: doc_id, item_id, similarity, first_word, words.
 
     Words are runs of letters, digits and underscores, lower-cased; items shorter than five
-    words are one shingle and must occur whole; items without words are never found.  Of
+    words are one shingle and must occur whole; items without words are never found.  A document
+    shorter than an item is one window, weighed against the whole item.  Of
     items that share an id the greatest text counts; items without an id are left out.  Null
     texts count as empty.  Rows repeated in ``docs`` give repeated rows.
     """

@@ -58,3 +58,19 @@ def test_block_index_returns_all_within_the_radius():
     for wanted in prints[:20]:
         wanted ^= np.uint64(r.integers(0, 2 ** 20))
         assert index.within(wanted).tolist() == np.flatnonzero(np.bitwise_count(prints ^ wanted) <= D.RADIUS).tolist()
+
+
+def test_documents_shorter_than_an_item():
+    r = rng()
+    items = {i: invented(r, int(n), 4000) for i, n in enumerate(r.integers(12, 80, 30))} | {50: "a b c d e"}
+    matcher = D.Matcher(items)
+    for i, text in items.items():
+        w = text.split()
+        short = {"short of the last word": w[:-1], "short of the first": w[1:], "one left out": w[:9] + w[10:],
+                 "half": w[:len(w) // 2]}
+        for name, own in short.items():
+            grams = [{tuple(x[k:k + 5]) for k in range(len(x) - 4)} for x in (own, w)]
+            share = len(grams[0] & grams[1]) / len(grams[1])
+            expected = [(i, share, 0, len(own))] if share >= 0.8 and own != w else []
+            if own != w:
+                assert matcher.find(" ".join(own)) == expected, name

@@ -12,8 +12,8 @@ little, a toxic expression shifts one word by far.  How great a difference means
 fitted on labelled texts that the models have not seen.
 
 The labelled sample and so the tables that travel to every task are bounded by
-``SAMPLE_PER_CLASS``; the corpus counts cover every text and are combined as distinct
-sequences, map-side first.
+``SAMPLE_PER_CLASS``; the corpus counts cover every text and all its sequences, are combined as
+distinct sequences, map-side first, and stay tables, from which what the sample needs is read.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ THRESHOLD = 0.7
 MOST_CHARACTERS = (1 << BITS) - 4
 EDGE, END, OTHER = 1, 2, 3
 NOT_SPELT = re.compile(r"\W+")
+#: sequences that a task remembers to have sent
+MOST_SEEN = 2_000_000
 #: words whose score a task remembers
 REMEMBERED = 200_000
 
@@ -91,14 +93,21 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Counts:
-    """Counts of sequences of one length: by sequence, and by what stands before the last character."""
+    """Counts of sequences of one length: by sequence, and by what stands before the last character.
+
+    Where the sequences are a selection, the totals and kinds of their contexts are given.
+    """
 
     keys: np.ndarray
     values: np.ndarray
+    contexts: np.ndarray | None = None
+    totals: np.ndarray | None = None
+    kinds: np.ndarray | None = None
 
     def __post_init__(self):
-        self.contexts, self.totals = summed(self.keys >> BITS, self.values)
-        _, self.kinds = summed(self.keys >> BITS, np.ones(len(self.keys)))
+        if self.contexts is None:
+            self.contexts, self.totals = summed(self.keys >> BITS, self.values)
+            _, self.kinds = summed(self.keys >> BITS, np.ones(len(self.keys)))
 
     def interpolate(self, wanted: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Discounted share of ``wanted`` after its context; the rest goes to ``lower``."""
@@ -267,11 +276,13 @@ def shared_counts(docs: DataFrame, ids: dict[str, int], needed: np.ndarray) -> l
     """Over all texts, how many different characters stand before sequences of one to
     ORDER - 1 characters.
 
-    Only sequences that end like one in ``needed`` (those of the labelled sample, so a bounded
-    table) are counted; a task sends a sequence of ORDER characters once.
+    All sequences are counted, and with them the totals and kinds of their contexts, as tables;
+    of these, the rows that score ``needed`` (the sequences of the labelled sample, so a bounded
+    number) are returned.  A task sends a sequence of ORDER characters once, as long as it
+    remembers it.
     """
-    suffix = (1 << BITS * (ORDER - 1)) - 1
-    endings = np.unique(needed & suffix)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "continuations")
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(0, np.int64)
@@ -279,16 +290,25 @@ def shared_counts(docs: DataFrame, ids: dict[str, int], needed: np.ndarray) -> l
             words = list({w for t in batch.text for w in words_of(t)})
             if words:
                 keys = np.unique(sequences(words, ids)[0])
-                new = np.setdiff1d(keys[np.isin(keys & suffix, endings)], seen, assume_unique=True)
-                seen = np.union1d(seen, new)
+                new = np.setdiff1d(keys, seen, assume_unique=True)
+                seen = np.union1d(seen, new) if len(seen) < MOST_SEEN else keys
                 yield pd.DataFrame({"key": new})
 
-    kinds = docs.select(whole_text().alias("text")).mapInPandas(distinct, "key long").distinct().groupBy(
-        F.col("key").bitwiseAND(F.lit(suffix)).alias("key")).count().toPandas().sort_values("key")
-    counts = [Counts(kinds.key.to_numpy(np.int64), kinds["count"].to_numpy(float))]
-    for length in range(ORDER - 2, 0, -1):
-        keys = counts[0].keys & ((1 << BITS * length) - 1)
-        counts.insert(0, Counts(*summed(keys, np.ones(len(keys)))))
+    def only(table: DataFrame, keys: np.ndarray) -> pd.DataFrame:
+        wanted = spark.createDataFrame(pd.DataFrame({"key": keys}), "key long")
+        return table.join(F.broadcast(wanted), "key").toPandas().sort_values("key")
+
+    longer, counts = docs.select(whole_text().alias("text")).mapInPandas(distinct, "key long").distinct(), []
+    for length in range(ORDER - 1, 0, -1):
+        suffix = (1 << BITS * length) - 1
+        longer = scratch.write(longer.groupBy(F.col("key").bitwiseAND(F.lit(suffix)).alias("key")).agg(
+            F.count(F.lit(1)).alias("n")), f"sequences{length}")
+        before = longer.groupBy(F.shiftright("key", BITS).alias("key")).agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        keys = np.unique(needed & suffix)
+        own, contexts = only(longer, keys), only(before, np.unique(keys >> BITS))
+        counts.insert(0, Counts(own.key.to_numpy(np.int64), own.n.to_numpy(float), contexts.key.to_numpy(np.int64),
+                                contexts.total.to_numpy(float), contexts.kinds.to_numpy(float)))
     return counts
 
 

@@ -67,3 +67,27 @@ def test_shares_of_a_context_sum_to_one():
     every = (context << toxicity.BITS) + np.arange(1 << toxicity.BITS)
     uniform = np.full(len(every), 1 / len(every))
     assert abs(counts.interpolate(every, uniform).sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("most_seen", [2_000_000, 0])
+def test_shared_counts_cover_the_whole_corpus(spark, monkeypatch, most_seen):
+    monkeypatch.setattr(toxicity, "MOST_SEEN", most_seen)
+    r = rng()
+    texts = [" ".join("".join("abcdefgh"[x] for x in r.integers(0, 8, int(n))) for n in r.integers(1, 9, 40))
+             for _ in range(50)]
+    ids = {c: i + 4 for i, c in enumerate("abcdefgh")}
+    needed = np.unique(toxicity.sequences(toxicity.words_of(texts[0]), ids)[0])
+    got = toxicity.shared_counts(docs(spark, texts), ids, needed)
+    keys = np.unique(toxicity.sequences([w for t in texts for w in toxicity.words_of(t)], ids)[0])
+    for length in range(toxicity.ORDER - 1, 0, -1):
+        suffix = (1 << toxicity.BITS * length) - 1
+        full = toxicity.Counts(*toxicity.summed(keys & suffix, np.ones(len(keys))))
+        keys, mine, wanted = full.keys, got[length - 1], np.unique(needed & suffix)
+        assert mine.keys.tolist() == wanted.tolist()
+        assert mine.values.tolist() == toxicity.look_up(full.keys, full.values, wanted).tolist()
+        before = np.unique(wanted >> toxicity.BITS)
+        assert mine.contexts.tolist() == before.tolist()
+        assert mine.totals.tolist() == toxicity.look_up(full.contexts, full.totals, before).tolist()
+        assert mine.kinds.tolist() == toxicity.look_up(full.contexts, full.kinds, before).tolist()
+        lower = np.full(len(wanted), 0.1)
+        assert np.allclose(mine.interpolate(wanted, lower), full.interpolate(wanted, lower))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.llm import decontaminate, exact_dedup, packing, quality, sharding, simhash_dedup
-from quarterdeck.llm import site_tree, suffix_dedup, toxicity, url_filter
+from quarterdeck.llm import decontaminate, exact_dedup, lm_scoring, packing, quality, sharding
+from quarterdeck.llm import simhash_dedup, site_tree, suffix_dedup, toxicity, url_filter
 
 RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
          url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
@@ -61,6 +61,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_toxicity, op4_simhash, op5_decontaminate,
-                            op6_quality, op7_site_tree, op8_suffix_dedup, op9_sharding, op10_packing, pipeline)}
+                            op6_quality, op7_site_tree, op8_suffix_dedup, op9_sharding, op10_packing, op12_lm_scoring, pipeline)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""

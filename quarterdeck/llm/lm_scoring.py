@@ -8,8 +8,8 @@ the weight that smoothing leaves to it:
     P(w | h) = (c(h w) + K * P(w | h without its first word)) / (c(h) + K)
 
 and, below, P(w) = (c(w) + 1) / (N + V + 1), where all unknown words are one more kind.  A text
-is read once from left to right: the automaton takes the token's arc, or failure arcs until
-there is one, and adds up the logarithms.
+is read once from left to right: the automaton takes the state's arc of the token, or failure
+arcs until there is one, and adds up the logarithms.
 
 Counts cover all n-grams of all training texts.  No task sees the whole automaton: texts come
 in blocks, each block asks for the counts of its own n-grams (``token_blocks``) and builds the
@@ -148,68 +148,41 @@ def answer(requests: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """States, arcs and failure arcs that a block's texts can reach.
+    """The states and arcs that a block's texts can reach, by token of the block.
 
-    State 0 knows no word; then come the block's words (and the start of a text), then its
-    n-grams of growing length.
+    A state is known by how many words it holds, as the n-gram that ends there numbers it.  For
+    the arc of n words that ends at a token: ``known`` tells whether training texts have it,
+    ``gain`` is its weight, and ``leave`` the weight of the failure arc of the state before it.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, kinds: int, strength: dict[int, float]):
-        self.size = size = grams.size + 1
-        order = len(counts)
-        offsets = [1]
-        for c in counts[:-1]:
-            offsets.append(offsets[-1] + len(c))
-        self.start = offsets[0] + grams.size
-        states = offsets[-1] if order > 1 else 1
-        self.failure, leave = np.zeros(states, np.int64), np.zeros(states)
-        logs, sources, words, targets = [], [], [], []
         share = (counts[0] + 1.0) / (total + kinds + 1)
-        for n in range(1, order + 1):
-            count, shorter = counts[n - 1], grams.shorter[n - 1]
-            if n > 1:
-                seen, pull = counts[n - 2][grams.context[n - 1]], strength[n]
-                share = (count + pull * share[shorter]) / (seen + pull)
-            # every word has an arc from state 0; other arcs are n-grams of training texts
-            arcs = np.arange(grams.size) if n == 1 else np.flatnonzero(count > 0)
-            logs.append(np.log10(share[arcs]))
-            sources.append(np.zeros(len(arcs), np.int64) if n == 1 else offsets[n - 2] + grams.context[n - 1][arcs])
-            words.append(arcs if n == 1 else self.last_word(grams, n)[arcs])
-            if n < order:
-                own = offsets[n - 1] + np.arange(len(count))
-                self.failure[own] = 0 if n == 1 else offsets[n - 2] + shorter
-                leave[own] = np.log10(strength[n + 1] / (count + strength[n + 1]))
-                targets.append(np.where(count[arcs] > 0, own[arcs], 0))
-            else:
-                targets.append(offsets[n - 2] + shorter[arcs] if n > 1 else np.zeros(len(arcs), np.int64))
-        self.leave = leave.tolist()
-        self.failure = self.failure.tolist()
-        self.gain = np.concatenate(logs).tolist()
-        self.target = np.concatenate(targets).tolist()
-        codes = np.concatenate(sources) * size + np.concatenate(words)
-        self.arcs = dict(zip(codes.tolist(), range(len(codes))))
-        self.first = offsets[0]
-
-    @staticmethod
-    def last_word(grams: Grams, n: int) -> np.ndarray:
-        last = grams.shorter[n - 1]
-        for m in range(n - 1, 1, -1):
-            last = grams.shorter[m - 1][last]
-        return last
-
-    def read(self, tokens: list[int]) -> float:
-        """The log10 probability of a text, in one traversal."""
-        arcs, gain, target, leave, failure, size = (
-            self.arcs, self.gain, self.target, self.leave, self.failure, self.size)
-        state, score = self.start if len(leave) > 1 else 0, 0.0
-        for token in tokens:
-            arc = arcs.get(state * size + token)
-            while arc is None:
-                score += leave[state]
-                state = failure[state]
-                arc = arcs.get(state * size + token)
-            score += gain[arc]
-            state = target[arc]
+        self.base = np.log10(share)[grams.tokens]
+        self.seen = (counts[0] > 0)[grams.tokens]
+        self.gain, self.known, self.leave = [self.base.tolist()], [self.seen.tolist()], [None]
+        for n in range(2, len(counts) + 1):
+            before, pull = counts[n - 2][grams.context[n - 1]], strength[n]
+            share = (counts[n - 1] + pull * share[grams.shorter[n - 1]]) / (before + pull)
+            there = np.flatnonzero(grams.at[n - 1] >= 0)
+            for values, lists in ((np.log10(share), self.gain), (counts[n - 1] > 0, self.known),
+                                  (np.log10(pull / (before + pull)), self.leave)):
+                by_token = np.zeros(len(grams.tokens), values.dtype)
+                by_token[there] = values[grams.at[n - 1][there]]
+                lists.append(by_token.tolist())
+
+    def read(self, begin: int, end: int) -> float:
+        """The log10 probability of a text, in one traversal from its start state."""
+        gain, known, leave = self.gain, self.known, self.leave
+        most = len(gain) - 1
+        state, score = min(1, most), 0.0
+        for i in range(begin, end):
+            while state and not known[state][i]:
+                score += leave[state][i]
+                state -= 1
+            score += gain[state][i]
+            if state or known[0][i]:
+                # one word more, or as many as a state holds
+                state = state + 1 if state < most else most
         return score
 
 
@@ -224,13 +197,11 @@ def score_block(block: dict, answers: list[dict], order: int, total: int, kinds:
             count[np.argsort(keys)] = np.concatenate(sums).astype(np.int64)
         counts.append(count)
     automaton = Automaton(grams, counts, total, kinds, strength)
-    base = np.log10((counts[0] + 1.0) / (total + kinds + 1))[grams.tokens]
-    known = (counts[0] > 0)[grams.tokens]
     begin = 0
     for doc_id, held, end in zip(block["doc_ids"], block["held"], (grams.ends + 1).tolist()):
         yield {"doc_id": doc_id, "held_out": bool(held), "n_tokens": end - begin,
-               "n_known": int(known[begin:end].sum()), "base_score": float(base[begin:end].sum()),
-               "score": automaton.read(grams.tokens[begin:end].tolist())}
+               "n_known": int(automaton.seen[begin:end].sum()),
+               "base_score": float(automaton.base[begin:end].sum()), "score": automaton.read(begin, end)}
         begin = end
 
 

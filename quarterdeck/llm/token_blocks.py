@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: words of a block, unless a single text is longer
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 20
 #: keys that a bucket should receive, about
 BUCKET_KEYS = 1 << 22
 

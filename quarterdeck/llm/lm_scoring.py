@@ -159,7 +159,7 @@ class Automaton:
         share = (counts[0] + 1.0) / (total + kinds + 1)
         self.base = np.log10(share)[grams.tokens]
         self.seen = (counts[0] > 0)[grams.tokens]
-        self.gain, self.known, self.leave = [self.base.tolist()], [self.seen.tolist()], [None]
+        self.gain, self.known, self.leave = [self.base], [self.seen], [np.zeros(len(self.base))]
         for n in range(2, len(counts) + 1):
             before, pull = counts[n - 2][grams.context[n - 1]], strength[n]
             share = (counts[n - 1] + pull * share[grams.shorter[n - 1]]) / (before + pull)
@@ -168,14 +168,14 @@ class Automaton:
                                   (np.log10(pull / (before + pull)), self.leave)):
                 by_token = np.zeros(len(grams.tokens), values.dtype)
                 by_token[there] = values[grams.at[n - 1][there]]
-                lists.append(by_token.tolist())
+                lists.append(by_token)
 
     def read(self, begin: int, end: int) -> float:
         """The log10 probability of a text, in one traversal from its start state."""
-        gain, known, leave = self.gain, self.known, self.leave
+        gain, known, leave = ([v[begin:end].tolist() for v in values] for values in (self.gain, self.known, self.leave))
         most = len(gain) - 1
         state, score = min(1, most), 0.0
-        for i in range(begin, end):
+        for i in range(end - begin):
             while state and not known[state][i]:
                 score += leave[state][i]
                 state -= 1

@@ -81,8 +81,8 @@ def to_blocks(docs: DataFrame, block_words: int, shards: int) -> DataFrame:
 class Phrases:
     """The phrases of a block whose subphrases are all in the table, by length."""
 
-    def __init__(self, block: dict, since: np.ndarray):
-        self.since = since
+    def __init__(self, block: dict, table: bytes):
+        self.since = np.frombuffer(pa.decompress(table, 1 << TABLE_BITS, codec="zstd"), np.uint8)
         self.tokens = tb.unpacked(block["tokens"], block["n_tokens"], np.int32)
         self.words = [b"\n", *tb.unpacked_words(block["words"], block["word_bytes"])]
         self.hashes = tb.word_keys(self.words, block["lang"].encode("utf-8", "surrogatepass") + b"\n")
@@ -106,12 +106,17 @@ class Phrases:
             keys = tb.longer_keys(keys[both], self.hashes[self.tokens[at + n]])
 
 
+def compressed(since: np.ndarray) -> bytes:
+    """The table as it travels with a task's code: of few entries, it takes few bytes; never more than all of it."""
+    return pa.compress(since.tobytes(), codec="zstd", asbytes=True)
+
+
 def counted(blocks: DataFrame, since: np.ndarray, scan: int, shards: int, longest: int, buckets: int) -> DataFrame:
     """Counts of the phrases that are under way in this scan, by bucket of length and key."""
-    table = blocks.sparkSession.sparkContext.broadcast(since)  # 1 << TABLE_BITS bytes
+    table = compressed(since)
 
     def count(block: dict) -> Iterator[dict]:
-        for n, _, keys, start in Phrases(block, table.value).lengths(longest):
+        for n, _, keys, start in Phrases(block, table).lengths(longest):
             under_way = keys[start.astype(np.int64) + shards > scan]
             for bucket, size, sent, number in tb.deal(*np.unique(under_way, return_counts=True), buckets):
                 yield {"bucket": n * buckets + bucket, "n": size, "keys": sent, "counts": number}
@@ -158,11 +163,11 @@ def find_phrases(blocks: DataFrame, scratch: Scratch, words: int, threshold: int
 
 def exact_counts(blocks: DataFrame, since: np.ndarray, threshold: int, longest: int) -> DataFrame:
     """lang, phrase, size, a: the phrases that occur ``threshold`` times or more, counted by their text."""
-    table = blocks.sparkSession.sparkContext.broadcast(since)
+    table = compressed(since)
     shape = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int64()), ("a", pa.int64())])
 
     def spell(block: dict) -> Iterator[dict]:
-        phrases = Phrases(block, table.value)
+        phrases = Phrases(block, table)
         tokens = phrases.tokens.tolist()
         for n, at, keys, _ in phrases.lengths(longest):
             kept = np.flatnonzero(phrases.entry(keys) < NEVER)

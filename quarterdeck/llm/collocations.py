@@ -9,8 +9,8 @@ phrase is still being counted.
 Which phrases have reached the threshold, and in which scan, is told to the tasks as a table
 of ``1 << TABLE_BITS`` bytes, addressed by a phrase's hash; its size does not depend on the
 corpus.  Phrases that share an entry are counted though they need not be, so a full table costs
-work and no results.  A last scan counts the phrases of the table by their text, and only those
-exact counts are used from there on.
+work and no results.  A last scan takes the whole counts of the phrases in the table, and one
+block that has a phrase spells it.  Phrases are counted by 64-bit keys.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from quarterdeck.llm.scratch import Scratch, whole_text
 
 LONGEST = 5
 THRESHOLD = 100
-SHARDS = 4
+SHARDS = 2
 TABLE_BITS = 24
 NEVER = 255
 TOP = 2000
@@ -147,7 +147,9 @@ def find_phrases(blocks: DataFrame, scratch: Scratch, words: int, threshold: int
             raise ValueError("too many shards")
         shard = blocks.filter(F.col("shard") == scan % shards)
         # a phrase under way began less than a cycle ago
-        recent = recent[-(shards - 1):] if shards > 1 else []
+        if len(recent) == shards:
+            recent = recent[1:]
+            scratch.drop(f"scan{scan - shards}")
         recent.append(scratch.write(counted(shard, since, scan, shards, longest, buckets), f"scan{scan}"))
         rows = recent[0]
         for other in recent[1:]:
@@ -158,28 +160,62 @@ def find_phrases(blocks: DataFrame, scratch: Scratch, words: int, threshold: int
         if (new.n < longest).any():
             last = scan + 1
         scan += 1
+    for old in range(max(0, scan - shards), scan):
+        scratch.drop(f"scan{old}")
     return since
 
 
-def exact_counts(blocks: DataFrame, since: np.ndarray, threshold: int, longest: int) -> DataFrame:
-    """lang, phrase, size, a: the phrases that occur ``threshold`` times or more, counted by their text."""
+CLOSING = pa.schema([*COUNTED, ("block", pa.int64())])
+PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int64()), ("a", pa.int64())])
+
+
+def whole_counts(blocks: DataFrame, since: np.ndarray, threshold: int, longest: int, buckets: int) -> DataFrame:
+    """Phrases that occur ``threshold`` times or more, by one block that has them, as packed keys and counts."""
     table = compressed(since)
-    shape = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int64()), ("a", pa.int64())])
 
-    def spell(block: dict) -> Iterator[dict]:
+    def count(block: dict) -> Iterator[dict]:
         phrases = Phrases(block, table)
-        tokens = phrases.tokens.tolist()
-        for n, at, keys, _ in phrases.lengths(longest):
-            kept = np.flatnonzero(phrases.entry(keys) < NEVER)
-            # phrases of equal keys may differ in their words
-            code = np.stack([phrases.tokens[at[kept] + k] for k in range(n)], axis=1)
-            _, first, number = np.unique(code, axis=0, return_index=True, return_counts=True)
-            for place, count in zip(at[kept][first].tolist(), number.tolist()):
-                text = b" ".join(phrases.words[t] for t in tokens[place:place + n])
-                yield {"lang": block["lang"], "phrase": text.decode("utf-8", "replace"), "size": n, "a": count}
+        for n, _, keys, _ in phrases.lengths(longest):
+            there = keys[phrases.entry(keys) < NEVER]
+            for bucket, size, sent, number in tb.deal(*np.unique(there, return_counts=True), buckets):
+                yield {"bucket": n * buckets + bucket, "n": size, "keys": sent, "counts": number, "block": block["block"]}
+
+    def add(sent: pa.Table) -> pa.Table:
+        rows = sent.to_pydict()
+        distinct, sums, place = tb.added_up(rows["n"], rows["keys"], rows["counts"])
+        owner = np.zeros(len(distinct), np.int64)
+        owner[place] = np.repeat(np.array(rows["block"]), rows["n"])
+        found = []
+        frequent = np.flatnonzero(sums >= threshold)
+        for block in np.unique(owner[frequent]).tolist():
+            own = frequent[owner[frequent] == block]
+            _, size, keys, counts = next(tb.deal(distinct[own], sums[own], 1))
+            found.append({"bucket": rows["bucket"][0] // buckets, "n": size, "keys": keys, "counts": counts, "block": block})
+        return pa.Table.from_pylist(found, CLOSING)
+
+    return tb.map_blocks(blocks, count, CLOSING).groupBy("bucket").applyInArrow(add, tb.ddl(CLOSING))
+
+
+def spelt(blocks: DataFrame, counts: DataFrame, since: np.ndarray, longest: int) -> DataFrame:
+    """lang, phrase, size, a of the phrases in ``counts``."""
+    table = compressed(since)
+
+    def spell(mine: pa.Table, wanted: pa.Table) -> pa.Table:
+        found, asked = [], wanted.to_pylist()
+        for block in mine.to_pylist() if asked else []:
+            phrases = Phrases(block, table)
+            tokens = phrases.tokens
+            for n, at, keys, _ in phrases.lengths(longest):
+                distinct, first = np.unique(keys, return_index=True)
+                for row in asked:
+                    if row["bucket"] == n:
+                        places = at[first[np.searchsorted(distinct, tb.dealt_keys(row["keys"], row["n"]))]]
+                        for place, a in zip(places.tolist(), tb.unpacked(row["counts"], row["n"], tb.COUNT).tolist()):
+                            text = b" ".join(phrases.words[t] for t in tokens[place:place + n])
+                            found.append({"lang": block["lang"], "phrase": text.decode("utf-8", "replace"), "size": n, "a": a})
+        return pa.Table.from_pylist(found, PHRASES)
 
-    return tb.map_blocks(blocks, spell, shape).groupBy("lang", "phrase", "size").agg(
-        F.sum("a").alias("a")).filter(F.col("a") >= threshold)
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(spell, tb.ddl(PHRASES))
 
 
 def part(words: Column, start: Column, length: Column) -> Column:
@@ -231,8 +267,10 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int | None =
     """
     scratch = Scratch(docs.sparkSession, "collocations")
     blocks = scratch.write(to_blocks(docs, block_words, shards), "blocks", "shard")
-    since = find_phrases(blocks, scratch, tb.total(blocks, "n"), threshold, shards, longest)
-    counts = scratch.write(exact_counts(blocks, since, threshold, longest), "phrases")
+    words = tb.total(blocks, "n")
+    since = find_phrases(blocks, scratch, words, threshold, shards, longest)
+    counts = scratch.write(whole_counts(blocks, since, threshold, longest, tb.bucket_count(words)), "counts")
+    counts = scratch.write(spelt(blocks, counts, since, longest), "phrases")
     totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     kept = without_parts(scored(counts, totals, longest), share)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

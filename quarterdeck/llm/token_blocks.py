@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: words of a block, unless a single text is longer
 BLOCK_WORDS = 1 << 20
+#: counts travel as these
+COUNT = np.uint64
 #: keys that a bucket should receive, about
 BUCKET_KEYS = 1 << 22
 
@@ -91,7 +93,7 @@ def deal(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[i
         if a < b:
             gaps = keys[a:b].copy()
             gaps[1:] -= keys[a:b - 1]
-            yield bucket, b - a, packed(gaps), packed(counts[a:b].astype(np.uint32))
+            yield bucket, b - a, packed(gaps), packed(counts[a:b].astype(COUNT))
 
 
 def dealt_keys(data: bytes, count: int) -> np.ndarray:
@@ -102,7 +104,7 @@ def dealt_keys(data: bytes, count: int) -> np.ndarray:
 def added_up(sizes: list[int], keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of a bucket, their sums, and for each key as it was sent the place of its sum."""
     sent = np.concatenate([dealt_keys(k, n) for k, n in zip(keys, sizes)])
-    number = np.concatenate([unpacked(c, n, np.uint32) for c, n in zip(counts, sizes)])
+    number = np.concatenate([unpacked(c, n, COUNT) for c, n in zip(counts, sizes)])
     distinct, place = np.unique(sent, return_inverse=True)
     return distinct, np.bincount(place, number, len(distinct)).astype(np.uint64), place
 

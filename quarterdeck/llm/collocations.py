@@ -31,6 +31,8 @@ SHARDS = 2
 TABLE_BITS = 24
 NEVER = 255
 TOP = 2000
+#: words that a task numbers before it writes its blocks, one per language
+BLOCK_WORDS = 2 * tb.BLOCK_WORDS
 BREAK = 0
 #: phrase ends become line feeds, tabs become spaces, A-Z become a-z
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -38,6 +40,7 @@ PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 BLOCK = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("shard", pa.int64()), ("n", pa.int64()),
                    ("n_tokens", pa.int64()), ("tokens", pa.binary()), ("word_bytes", pa.int64()), ("words", pa.binary())])
 COUNTED = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+BEGUN = pa.schema([*COUNTED, ("began", pa.int64())])
 
 
 def to_blocks(docs: DataFrame, block_words: int, shards: int) -> DataFrame:
@@ -117,11 +120,11 @@ def counted(blocks: DataFrame, since: np.ndarray, scan: int, shards: int, longes
 
     def count(block: dict) -> Iterator[dict]:
         for n, _, keys, start in Phrases(block, table).lengths(longest):
-            under_way = keys[start.astype(np.int64) + shards > scan]
-            for bucket, size, sent, number in tb.deal(*np.unique(under_way, return_counts=True), buckets):
-                yield {"bucket": n * buckets + bucket, "n": size, "keys": sent, "counts": number}
+            for began in range(max(0, scan - shards + 1), scan + 1):
+                for bucket, size, sent, number in tb.deal(*np.unique(keys[start == began], return_counts=True), buckets):
+                    yield {"bucket": n * buckets + bucket, "n": size, "keys": sent, "counts": number, "began": began}
 
-    return tb.map_blocks(blocks, count, COUNTED)
+    return tb.map_blocks(blocks, count, BEGUN)
 
 
 def reached(rows: DataFrame, threshold: int, buckets: int) -> DataFrame:
@@ -134,7 +137,7 @@ def reached(rows: DataFrame, threshold: int, buckets: int) -> DataFrame:
         entries = np.unique(distinct[sums >= threshold] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         return pa.table([np.full(len(entries), found["bucket"][0] // buckets), entries], schema=shape)
 
-    return rows.groupBy("bucket").applyInArrow(add, tb.ddl(shape)).distinct()
+    return rows.drop("began").groupBy("bucket").applyInArrow(add, tb.ddl(shape)).distinct()
 
 
 def find_phrases(blocks: DataFrame, scratch: Scratch, words: int, threshold: int, shards: int, longest: int) -> np.ndarray:
@@ -150,7 +153,9 @@ def find_phrases(blocks: DataFrame, scratch: Scratch, words: int, threshold: int
         if len(recent) == shards:
             recent = recent[1:]
             scratch.drop(f"scan{scan - shards}")
-        recent.append(scratch.write(counted(shard, since, scan, shards, longest, buckets), f"scan{scan}"))
+        recent.append(scratch.write(counted(shard, since, scan, shards, longest, buckets), f"scan{scan}", "began"))
+        # what began a cycle ago has been judged
+        recent = [r.filter(F.col("began") > scan - shards) for r in recent]
         rows = recent[0]
         for other in recent[1:]:
             rows = rows.unionByName(other)
@@ -255,7 +260,7 @@ def without_parts(candidates: DataFrame, share: int) -> DataFrame:
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int | None = TOP, longest: int = LONGEST,
-                 share: int = 100, shards: int = SHARDS, block_words: int = tb.BLOCK_WORDS) -> DataFrame:
+                 share: int = 100, shards: int = SHARDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The highest-scoring phrases per language: lang, rank, phrase, a, l, r, n, score.
 
     ``score`` is floor(1000 * a * n / (l * r)) of a phrase's lowest-scoring cut, in exact decimals.

@@ -2,8 +2,9 @@ import re
 
 import corpus_pipeline
 from quarterdeck.llm import decontaminate, toxicity
-from tests.llm.helpers import docs, invented, rng, slow_components, slow_fingerprint
+from tests.llm.helpers import docs, invented, rng
 from tests.llm.test_first_operators import near_copies
+from tests.llm.test_near_copies import slow_classes
 from tests.llm.test_toxicity import BAD
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,7 +44,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     for i in sorted(left):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i]), i)
     left = {i: left[i] for i in sorted(first.values())}
-    classes = slow_components({i: slow_fingerprint(t, 5) for i, t in left.items()})
+    classes = slow_classes(left)
     left = {i: t for i, t in left.items() if classes[i] == i}
     matcher = decontaminate.Matcher({0: item})
     left = {i: t for i, t in left.items() if not matcher.find(t)}

@@ -12,13 +12,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oracle.common import AS_OF, CUTOFF
+from oracle.common import AS_OF, CUTOFF, CUTOFFS
 from quarterdeck import concept_sources as C
 from quarterdeck import constants as K
 from quarterdeck import registry as R
 from quarterdeck.functions.quantiles import group_median, group_upper_median
 from quarterdeck.operators import asof, filing_periods, periods, ratios, reshape, tag_merge
-from quarterdeck.operators import share_basis, timeseries as ts, visibility
+from quarterdeck.operators import scale_repair, share_basis, timeseries as ts, visibility
 from quarterdeck.plans import coverage, derived, facts as facts_plan, freshness, metrics
 from quarterdeck.plans import refresh, snapshot, valuation, views, wide as wide_plan
 from quarterdeck.session import cut_lineage
@@ -406,6 +406,15 @@ def snapshot_as_of(d: Data) -> DataFrame:
     return rounded(snapshot.build_snapshot_as_of(CUTOFF, wide, d.prices, averages), "value")
 
 
+@query
+def snapshots_as_of(d: Data) -> DataFrame:
+    """A list of dates in one pass."""
+    wide = d.shared_wide
+    averages = valuation.five_year_averages(
+        valuation.harmonic_rows(valuation.valuation_wide(wide, d.quotes)))
+    return rounded(snapshot.build_snapshots_as_of(CUTOFFS, wide, d.prices, averages), "value")
+
+
 @query
 def snapshot_points(d: Data) -> DataFrame:
     return rounded(views.snapshot_points(_current(d), AS_OF), "value")
@@ -517,9 +526,7 @@ def split_basis(d: Data) -> DataFrame:
         "ticker", "end", "value")
 
 
-@query
-def scale_repair(d: Data) -> DataFrame:
-    """No reference SQL: the sweep carries state; checked against brute force in the tests."""
+def _repaired(d: Data) -> DataFrame:
     shares = d.series.filter(F.col("concept") == "SharesOutstanding").select(
         "ticker", "concept", "end", "value", "filed")
     return facts_plan.repair_share_counts(
@@ -527,6 +534,9 @@ def scale_repair(d: Data) -> DataFrame:
         "ticker", "concept", "end", "value")
 
 
+QUERIES["scale_repair"] = _repaired
+
+
 @query
 def shares_basis(d: Data) -> DataFrame:
     return tag_merge.shares_basis(d.readable, d.sources)
@@ -568,6 +578,73 @@ def override_audit(d: Data) -> DataFrame:
     return filings.override_audit(entries, overrides)
 
 
+@query
+def filings_ingested(d: Data) -> DataFrame:
+    """Nested company documents, as text, back to flat facts; broken documents are set aside."""
+    sound, _ = filings.parsed_documents(T.documents_from_filings(d.raw))
+    return filings.flatten_company_facts(sound)
+
+
+@query
+def documents_set_aside(d: Data) -> DataFrame:
+    _, broken = filings.parsed_documents(T.documents_from_filings(d.raw))
+    return broken.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def _share_series(d: Data) -> DataFrame:
+    shares = d.series.filter(F.col("concept") == facts_plan.SHARES).select(
+        "ticker", "concept", "end", "value", "filed")
+    return facts_plan.on_split_basis(shares, d.raw, d.sources, prices.split_events(d.prices))
+
+
+@query
+def scale_sweep(d: Data) -> DataFrame:
+    return scale_repair.propose_scale(_share_series(d)).select("ticker", "end", "value", "swept")
+
+
+@query
+def scale_evidence(d: Data) -> DataFrame:
+    suspects = cut_lineage(scale_repair.proposals(scale_repair.propose_scale(_share_series(d))))
+    evidence = facts_plan.share_evidence(d.raw, d.sources)(suspects)
+    return scale_repair.verdicts(suspects, *evidence).withColumn("factor", F.round("factor", 3))
+
+
+@query
+def directional_repair(d: Data) -> DataFrame:
+    evidence_for = facts_plan.share_evidence(d.raw, d.sources)
+    series = cut_lineage(scale_repair.corroborated_scale(_share_series(d), evidence_for))
+    return scale_repair.decisions(series, evidence_for).select("ticker", "end", "power", "action")
+
+
+#: company layers of merge_modes, by a company's number mod 4; layer3 overrides nothing
+LAYERS = {
+    "layer0": {"Revenue": {"mode": "sum", "point_in_time": False, "tags": [
+        "Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax"]}},
+    "layer1": {"DepreciationAndAmortization": {
+        "mode": "fallback_then_sum", "point_in_time": False, "tags": ["DepreciationDepletionAndAmortization"],
+        "sum_tags": ["Depreciation", "AmortizationOfIntangibleAssets"]}},
+    "layer2": {
+        "DepreciationAndAmortization": {
+            "mode": "fallback_sum", "point_in_time": False, "tags": ["DepreciationDepletionAndAmortization"],
+            "fallback_sum_tags": ["Depreciation", "AmortizationOfIntangibleAssets"]},
+        "LongTermDebt": {"mode": "priority_merge", "point_in_time": True, "non_negative": True, "sources": [
+            {"type": "tag", "tag": "LongTermDebt"},
+            {"type": "sum", "tags": ["LongTermDebtNoncurrent", "LongTermDebtCurrent", "NotesPayableCurrent"],
+             "require": "LongTermDebtNoncurrent"}]}},
+}
+
+
+@query
+def merge_modes(d: Data) -> DataFrame:
+    """All ways to merge tags, in a layer that companies put over their profile's."""
+    layers = C.company_sources_frame(d.spark, {
+        owner: {c: C.candidate_from_mapping(cfg) for c, cfg in concepts.items()} for owner, concepts in LAYERS.items()})
+    sources = cut_lineage(tag_merge.resolved_sources(
+        d.profiles, d.profiles, C.profile_sources_frame(d.spark, R.profile_names()), T.company_layer(d.profiles, layers)))
+    wanted = sources.filter(F.col("concept").isin("Revenue", "DepreciationAndAmortization", "LongTermDebt"))
+    return tag_merge.concept_series(d.readable, wanted).select("ticker", "concept", "end", "value")
+
+
 # --- coverage and views -----------------------------------------------------
 
 @query
@@ -674,7 +751,7 @@ def tickers_without_data(d: Data) -> DataFrame:
     return published.without_data(requested, d.facts.select("ticker").distinct())
 
 
-# --- the nightly job, without reference SQL ---------------------------------
+# --- the nightly job ---------------------------------------------------------
 
 def _nightly_facts(d: Data) -> DataFrame:
     series = d.series

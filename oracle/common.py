@@ -13,14 +13,16 @@ from quarterdeck import registry as R
 from quarterdeck.sources import tables as T
 
 AS_OF, CUTOFF = "2002-02-15", "2000-06-30"
+CUTOFFS = ("1997-03-31", "1999-01-15", CUTOFF)
 
 CTES: dict[str, str] = {}
 GAPPED_CTES: dict[str, str] = {}
 
 
-def statement(final: str, gaps: bool = False) -> str:
-    """``final`` with the CTEs it needs; with ``gaps``, on facts and prices that lack some values."""
-    ctes = CTES | GAPPED_CTES if gaps else CTES
+def statement(final: str, gaps: bool = False, instead: dict[str, str] | None = None) -> str:
+    """``final`` with the CTEs it needs; with ``gaps``, on facts and prices that lack some values;
+    ``instead`` puts other CTEs in the place of those of the same names."""
+    ctes = (CTES | GAPPED_CTES if gaps else CTES) | (instead or {})
     names, todo = set(), [final]
     while todo:
         text = todo.pop()
@@ -28,7 +30,19 @@ def statement(final: str, gaps: bool = False) -> str:
             if name not in names and re.search(rf"\b{name}\b", text):
                 names.add(name)
                 todo.append(ctes[name])
-    ordered = [n for n in CTES if n in names]
+    ordered, done = [], set()
+
+    def place(name: str) -> None:
+        if name not in done:
+            done.add(name)
+            for other in CTES:
+                if other in names and other != name and re.search(rf"\b{other}\b", ctes[name]):
+                    place(other)
+            ordered.append(name)
+
+    for name in CTES:
+        if name in names:
+            place(name)
     if not ordered:
         return final
     body = ",\n".join(f"{n} AS MATERIALIZED ({ctes[n]})" for n in ordered)

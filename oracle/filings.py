@@ -136,6 +136,103 @@ WHERE p.stock_split > 0 AND abs(ln(p.stock_split)) >= 0.182 AND EXISTS (
   SELECT 1 FROM restated r WHERE r.ticker = p.ticker AND r.tag IN ({_share_tags})
     AND r.earlier < p.dt AND p.dt <= r.later AND abs(ln(r.ratio / p.stock_split)) < 0.02)"""
 
+# --- share counts in the wrong unit of scale ----------------------------------
+# a company's counts on the current split basis
+CTES["counts"] = """
+SELECT s.ticker, s.pe, s.filed, s.value AS filed_value, s.value * coalesce(product(c.ratio) FILTER (c.dt > s.filed), 1) AS value
+FROM series s LEFT JOIN confirmed c USING (ticker) WHERE s.concept = 'SharesOutstanding' GROUP BY s.ticker, s.pe, s.filed, s.value"""
+CTES["lined"] = """
+SELECT ticker, pe, value, up, row_number() OVER (PARTITION BY ticker, up ORDER BY CASE WHEN up THEN pe END, CASE WHEN NOT up THEN pe END DESC) AS rn
+FROM counts CROSS JOIN (VALUES (true), (false)) AS d(up)"""
+# the level goes from value to value; a value far below it is taken up by the factor that fits best
+CTES["walked"] = """
+WITH RECURSIVE w AS (
+  SELECT ticker, up, CAST(0 AS BIGINT) AS rn, list_sort(list(log10(abs(value))) FILTER (value <> 0))[count(*) FILTER (value <> 0) // 2 + 1] AS level,
+    CAST(NULL AS INTEGER) AS power FROM lined WHERE rn <= 5 GROUP BY ticker, up
+  UNION ALL
+  SELECT ticker, up, rn,
+    CASE WHEN own IS NULL THEN level WHEN level IS NULL OR abs(own - level) <= 1.5 THEN own
+      WHEN own > level OR best IS NULL THEN level ELSE own + best END,
+    CASE WHEN own IS NOT NULL AND level IS NOT NULL AND abs(own - level) > 1.5 AND own < level THEN best END
+  FROM (SELECT *, list_sort(list_transform(list_filter([2, 3, 4, 5, 6, 7], lambda p: abs(own + p - level) <= 0.5),
+            lambda p: {'off': abs(own + p - level), 'p': p}))[1].p AS best
+        FROM (SELECT w.ticker, w.up, l.rn, w.level, CASE WHEN l.value <> 0 THEN log10(abs(l.value)) END AS own
+              FROM w JOIN lined l ON l.ticker = w.ticker AND l.up = w.up AND l.rn = w.rn + 1)))
+SELECT l.ticker, l.pe, l.up, w.power FROM w JOIN lined l USING (ticker, up, rn)"""
+CTES["sweep"] = """
+SELECT c.*, CASE WHEN n >= 4 AND p IS NOT NULL THEN value * power(10.0, p) ELSE value END AS swept FROM (
+  SELECT c.*, count(*) OVER (PARTITION BY c.ticker) AS n,
+    CASE WHEN f.power IS NULL OR b.power IS NULL OR f.power = b.power THEN coalesce(f.power, b.power) END AS p
+  FROM counts c JOIN walked f ON f.ticker = c.ticker AND f.pe = c.pe AND f.up
+  JOIN walked b ON b.ticker = c.ticker AND b.pe = c.pe AND NOT b.up) c"""
+CTES["proposed"] = "SELECT ticker, pe, filed_value, swept / value AS factor FROM sweep WHERE value <> 0 AND swept <> value"
+CTES["shr"] = f"SELECT * FROM raw WHERE val IS NOT NULL AND tag IN ({_share_tags})"
+CTES["eps"] = "SELECT * FROM raw WHERE val IS NOT NULL AND tag IN ('EarningsPerShareDiluted', 'EarningsPerShareBasic')"
+_income_tags = ", ".join(f"'{t}'" for s in C.BASE["NetIncomeLoss"].sources for t in s.tags)
+CTES["inc"] = f"SELECT * FROM raw WHERE val IS NOT NULL AND tag IN ({_income_tags})"
+_FILING = "{0}.ticker = {1}.ticker AND {0}.accn = {1}.accn AND {0}.pe = {1}.pe AND {0}.st IS NOT DISTINCT FROM {1}.st"
+
+
+def _reported(table: str) -> str:
+    """Filings that reported just the number in question for its end."""
+    return f"""SELECT DISTINCT p.ticker, p.pe, x.accn, x.st, p.filed_value, p.factor FROM (SELECT * FROM {table}) p
+JOIN shr x ON x.ticker = p.ticker AND x.pe = p.pe WHERE x.val <> 0 AND abs(x.val / p.filed_value - 1) < 1e-9"""
+
+
+def _errors(reported: str) -> str:
+    """What income over shares over earnings per share comes to, for all numbers of a filing that meet."""
+    return f"""SELECT r.ticker, r.pe, log10(abs((i.val / r.filed_value) / e.val)) AS error, abs(i.val) AS income FROM {reported} r
+JOIN eps e ON {_FILING.format('e', 'r')} JOIN inc i ON {_FILING.format('i', 'r')} WHERE abs(e.val) > 1e-6 AND i.val <> 0"""
+
+
+_MIDDLE = "list_sort(list({0}))[count(*) // 2 + 1]"
+CTES["reporting"] = _reported("proposed")
+CTES["judged"] = f"""
+SELECT p.ticker, p.pe, p.factor, CASE
+  WHEN EXISTS (SELECT 1 FROM shr x WHERE x.ticker = p.ticker AND x.pe = p.pe AND x.val > 0 AND abs((x.val / p.filed_value) / p.factor - 1) < 0.02)
+    OR EXISTS (SELECT 1 FROM reporting r JOIN inc i ON {_FILING.format('i', 'r')}
+               JOIN inc o ON o.ticker = r.ticker AND o.pe = r.pe AND o.st IS NOT DISTINCT FROM r.st
+               WHERE r.ticker = p.ticker AND r.pe = p.pe AND i.val <> 0 AND abs((o.val / i.val) / p.factor - 1) < 0.02)
+    OR coalesce(abs(m.implied - log10(p.factor)) < 0.35, false) THEN 'supported'
+  WHEN abs(m.implied) < 0.35 THEN 'refuted' ELSE 'unknown' END AS verdict
+FROM proposed p LEFT JOIN (SELECT ticker, pe, {_MIDDLE.format('error')} AS implied FROM ({_errors('reporting')}) GROUP BY ALL) m
+  ON m.ticker = p.ticker AND m.pe = p.pe"""
+CTES["scaled"] = """
+SELECT s.ticker, s.pe, s.filed, s.filed_value, CASE WHEN j.verdict = 'refuted' THEN s.value ELSE coalesce(s.swept, s.value) END AS value
+FROM sweep s LEFT JOIN judged j USING (ticker, pe)"""
+CTES["outside"] = f"""
+SELECT ticker, pe, value, filed_value, others, 1.0 AS factor FROM (
+  SELECT a.ticker, a.pe, a.value, a.filed_value, {_MIDDLE.format('log10(abs(b.value))')} AS others, count(*) AS n
+  FROM scaled a JOIN scaled b ON b.ticker = a.ticker AND b.pe <> a.pe AND b.value <> 0
+  WHERE a.value > 0 AND a.filed_value <> 0 GROUP BY ALL)
+WHERE n >= 5 AND abs(log10(value) - others) >= 2"""
+CTES["sibling"] = """
+SELECT ticker, pe, arg_min(CAST(round(gap) AS INTEGER), rank) AS power FROM (
+  SELECT o.ticker, o.pe, o.value, o.filed_value, o.others, x.val, log10(o.filed_value / x.val) AS gap,
+    {'seen': min(x.place) OVER (PARTITION BY o.ticker, o.pe, x.accn, x.st), 'place': x.place} AS rank
+  FROM outside o JOIN (SELECT *, CASE WHEN tag LIKE 'WeightedAverageNumberOfDiluted%' THEN 0 WHEN tag LIKE 'Weighted%' THEN 1 ELSE 2 END * 1e9
+                         + unit_pos * 1e6 + ordinal AS place FROM shr) x ON x.ticker = o.ticker AND x.pe = o.pe AND x.val > 0
+  WHERE EXISTS (SELECT 1 FROM shr y WHERE y.ticker = o.ticker AND y.pe = o.pe AND y.accn = x.accn AND y.val <> 0 AND abs(y.val / o.filed_value - 1) < 1e-9))
+WHERE gap >= 0.7 AND abs(gap - round(gap)) <= 0.05 AND abs(log10(val * (value / filed_value)) - others) < 1 GROUP BY ALL"""
+CTES["outreport"] = _reported("outside")
+CTES["unsound"] = f"""
+SELECT e.ticker, e.pe FROM (SELECT ticker, pe, {_MIDDLE.format('error')} AS implied, {_MIDDLE.format('income')} AS typical
+  FROM ({_errors('outreport')}) GROUP BY ALL) e
+JOIN (SELECT ticker, {_MIDDLE.format('log10(abs(val))')} AS usual FROM inc WHERE val <> 0 GROUP BY ticker HAVING count(*) >= 5) u USING (ticker)
+WHERE abs(e.implied) >= 2 AND abs(log10(e.typical) - u.usual) < 1"""
+CTES["decided"] = """
+SELECT o.ticker, o.pe, s.power, CASE WHEN s.power IS NOT NULL THEN 'rescaled' WHEN u.ticker IS NOT NULL THEN 'dropped' ELSE 'kept' END AS action
+FROM outside o LEFT JOIN sibling s ON s.ticker = o.ticker AND s.pe = o.pe LEFT JOIN unsound u ON u.ticker = o.ticker AND u.pe = o.pe"""
+CTES["repaired"] = """
+SELECT s.ticker, s.pe, CASE WHEN d.action = 'rescaled' THEN s.value / power(10.0, d.power) ELSE s.value END AS value
+FROM scaled s LEFT JOIN decided d ON d.ticker = s.ticker AND d.pe = s.pe WHERE d.action IS NULL OR d.action <> 'dropped'"""
+CTES["allraw"] = CTES["raw"]
+#: the facts without the corrections' known wrong ones
+WITHOUT_KNOWN_BAD = {"raw": "SELECT * FROM allraw WHERE NOT (tag = 'Goodwill' AND ordinal % 50 = 0)"}
+_summed = "sum(value) FILTER (tag IN ('Depreciation', 'AmortizationOfIntangibleAssets'))"
+_whole = "max(value) FILTER (tag = 'DepreciationDepletionAndAmortization')"
+_n = "CAST(substr(ticker, 2) AS BIGINT) % 4"
+
 END = 'pe AS "end"'
 STATEMENTS = {
     "unit_choice": "SELECT DISTINCT ticker, tag, unit FROM rawu",
@@ -172,4 +269,34 @@ FROM supplier WHERE s_suppkey % 4 <> 0 OR s_suppkey % 6 = 0""",
   SELECT ticker, concept, 'quarterly_rolling' FROM ({ttm}) WHERE value IS NOT NULL) GROUP BY ALL
 HAVING count(DISTINCT src) > 1 OR min(src) = 'annual_fact'""".format(
         ttm=ttm_of("(SELECT ticker, concept, pe, value FROM series)", K.TTM_CONCEPTS)),
+    "filings_ingested": f"""SELECT ticker, tag, unit, unit_pos, CAST(row_number() OVER (PARTITION BY ticker, tag, unit ORDER BY ordinal) - 1 AS INTEGER) AS ordinal,
+  st AS start, {END}, val, filed, fp, CAST(year(pe) AS INTEGER) AS fy, form, accn FROM raw""",
+    "documents_set_aside": "SELECT ticker, CAST(1 AS BIGINT) AS n_documents FROM (SELECT DISTINCT ticker FROM raw) WHERE CAST(substr(ticker, 2) AS BIGINT) % 7 = 0",
+    "scale_sweep": f"SELECT ticker, {END}, value, swept FROM sweep",
+    "scale_evidence": f"SELECT ticker, {END}, round(factor, 3) AS factor, verdict FROM judged",
+    "directional_repair": f"SELECT ticker, {END}, power, action FROM decided",
+    "scale_repair": f"SELECT ticker, 'SharesOutstanding' AS concept, {END}, value FROM repaired",
+    "merge_modes": f"""
+SELECT ticker, concept, {END}, value FROM merged WHERE (concept = 'Revenue' AND {_n} <> 0)
+  OR (concept = 'DepreciationAndAmortization' AND {_n} NOT IN (1, 2)) OR (concept = 'LongTermDebt' AND {_n} <> 2)
+UNION ALL SELECT ticker, 'Revenue', pe, sum(value) FROM quarters
+WHERE {_n} = 0 AND tag IN ('Revenues', 'RevenueFromContractWithCustomerExcludingAssessedTax') GROUP BY ticker, pe
+UNION ALL SELECT ticker, 'DepreciationAndAmortization', pe, value FROM (
+  SELECT ticker, pe, coalesce({_whole}, {_summed}) AS value FROM quarters WHERE {_n} = 1 GROUP BY ticker, pe) WHERE value IS NOT NULL
+UNION ALL SELECT ticker, 'DepreciationAndAmortization', pe, value FROM (
+  SELECT ticker, pe, CASE WHEN ticker IN (SELECT ticker FROM quarters WHERE tag = 'DepreciationDepletionAndAmortization')
+    THEN {_whole} ELSE {_summed} END AS value FROM quarters WHERE {_n} = 2 GROUP BY ticker, pe) WHERE value IS NOT NULL
+UNION ALL SELECT ticker, 'LongTermDebt', pe, value FROM (
+  SELECT ticker, pe, coalesce(max(value) FILTER (tag = 'LongTermDebt' AND value >= 0),
+    CASE WHEN count(*) FILTER (tag = 'LongTermDebtNoncurrent') > 0 AND sum(value) FILTER (tag <> 'LongTermDebt') >= 0
+      THEN sum(value) FILTER (tag <> 'LongTermDebt') END) AS value
+  FROM pit WHERE {_n} = 2 AND tag IN ('LongTermDebt', 'LongTermDebtNoncurrent', 'LongTermDebtCurrent', 'NotesPayableCurrent')
+  GROUP BY ticker, pe) WHERE value IS NOT NULL""",
+    "nightly_facts": f"""
+SELECT ticker, concept, {END}, value, CAST(NULL AS VARCHAR) AS ttm_source FROM (
+  SELECT ticker, concept, pe, value FROM series WHERE concept <> 'SharesOutstanding'
+  UNION ALL SELECT ticker, 'SharesOutstanding', pe, value FROM repaired)
+WHERE NOT (concept IN ({", ".join(f"'{c}'" for c in (*K.NON_NEGATIVE_FLOWS, *K.NON_NEGATIVE_BALANCES))}) AND coalesce(value < 0, false))
+  AND NOT (concept = 'OperatingCashFlow' AND month(pe) = 6)
+UNION ALL SELECT ticker, concept, {END}, value, '{K.TTM_ANNUAL}' FROM annualttm""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.common import AS_OF, CTES, CUTOFF, rounded
+from oracle.common import AS_OF, CTES, CUTOFF, CUTOFFS, rounded
 from quarterdeck import registry as R
 from quarterdeck.plans import snapshot as S
 
@@ -78,9 +78,14 @@ SELECT *, debt - cash AS net_debt, market_cap + (debt - cash) AS ev, fcf_ttm - s
     return f"SELECT ticker, DATE '{as_of}' AS \"end\", concept, {rounded()} AS value FROM ({final})"
 
 
-SNAPSHOT_LATEST = _snapshot("_now", AS_OF, "true", "SELECT * FROM quotes", True)
-SNAPSHOT_AS_OF = _snapshot("_cut", CUTOFF, f"pe <= DATE '{CUTOFF}'", f"""
+def _as_of(suffix: str, cutoff: str) -> str:
+    return _snapshot(suffix, cutoff, f"pe <= DATE '{cutoff}'", f"""
 SELECT p.ticker, p.price, s.value AS shares_outstanding FROM (
   SELECT ticker, close AS price FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) AS place
-    FROM px WHERE dt <= DATE '{CUTOFF}') WHERE place = 1) p
-LEFT JOIN (SELECT ticker, value FROM lv_cut WHERE concept = 'SharesOutstanding' AND age <= 365) s USING (ticker)""", False)
+    FROM px WHERE dt <= DATE '{cutoff}') WHERE place = 1) p
+LEFT JOIN (SELECT ticker, value FROM lv{suffix} WHERE concept = 'SharesOutstanding' AND age <= 365) s USING (ticker)""", False)
+
+
+SNAPSHOT_LATEST = _snapshot("_now", AS_OF, "true", "SELECT * FROM quotes", True)
+SNAPSHOT_AS_OF = _as_of("_cut", CUTOFF)
+SNAPSHOTS_AS_OF = " UNION ALL ".join(_as_of(f"_cut{i}", cutoff) for i, cutoff in enumerate(CUTOFFS))

@@ -42,22 +42,32 @@ def tags_of(sources: DataFrame, concept: str) -> DataFrame:
             .groupBy("ticker", "tag").agg(F.min("source_ix").alias("tag_ix")))
 
 
-def repair_share_counts(shares: DataFrame, cleaned: DataFrame, sources: DataFrame,
-                        splits: DataFrame | None) -> DataFrame:
-    """Split basis first, unit scale second: a split is no power of ten."""
-    tags = tags_of(sources, SHARES)
-    own = cleaned.join(tags.select("ticker", "tag"), ["ticker", "tag"], "left_semi")
+def on_split_basis(shares: DataFrame, cleaned: DataFrame, sources: DataFrame,
+                   splits: DataFrame | None) -> DataFrame:
+    """Share counts on the current split basis, with the ``filed_value``."""
     series = shares.withColumn("filed_value", F.col("value"))
-    if splits is not None:
-        series = apply_split_basis(series, corroborated_splits(splits, restatements(own)))
+    if splits is None:
+        return series
+    own = cleaned.join(tags_of(sources, SHARES).select("ticker", "tag"), ["ticker", "tag"], "left_semi")
+    return apply_split_basis(series, corroborated_splits(splits, restatements(own)))
 
+
+def share_evidence(cleaned: DataFrame, sources: DataFrame):
+    """Share, EPS and income values as filed of the companies that have suspicious counts."""
     def evidence_for(suspects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         companies = suspects.select("ticker").distinct()
         theirs = cleaned.join(companies, "ticker", "left_semi")
         income = tags_of(sources, "NetIncomeLoss")
         return tuple(cut_lineage(scale.filing_values(theirs, t))
-                     for t in (tags, scale.eps_tags(theirs), income))
+                     for t in (tags_of(sources, SHARES), scale.eps_tags(theirs), income))
+
+    return evidence_for
 
+
+def repair_share_counts(shares: DataFrame, cleaned: DataFrame, sources: DataFrame,
+                        splits: DataFrame | None) -> DataFrame:
+    """Split basis first, unit scale second: a split is no power of ten."""
+    series, evidence_for = on_split_basis(shares, cleaned, sources, splits), share_evidence(cleaned, sources)
     return scale.directional_repair(scale.corroborated_scale(series, evidence_for), evidence_for)
 
 

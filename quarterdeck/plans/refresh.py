@@ -20,7 +20,7 @@ from quarterdeck.plans.coverage import coverage_flags, coverage_report
 from quarterdeck.plans.derived import derived_rows
 from quarterdeck.plans.facts import build_facts
 from quarterdeck.plans.metrics import metrics_long, metrics_wide
-from quarterdeck.plans.snapshot import build_snapshot, build_snapshot_as_of
+from quarterdeck.plans.snapshot import build_snapshot, build_snapshots_as_of
 from quarterdeck.plans.valuation import (
     five_year_averages, harmonic_rows, peer_band_flags, valuation_history, valuation_wide,
 )
@@ -106,11 +106,12 @@ def refresh(inputs: Inputs, root: str, run_id: str, as_of) -> dict:
     expected = expected_concepts(sources, inputs.profiles, registry.excluded_frame(spark))
     coverage = coverage_report(coverage_flags(facts, expected), inputs.profiles)
     coverage.write.parquet(f"{root}/{run_id}/coverage")
+    # before anything groups by the key
+    duplicate_warning(facts).write.parquet(f"{root}/{run_id}/duplicates")
     result = calculate(facts, inputs.price_history, inputs.quotes, inputs.profiles, as_of,
                        shares_basis(readable, sources), inputs.submissions)
     frames = published_frames(result, inputs.profiles, registry.hidden_frame(spark))
     frames["facts_full"] = cut_lineage(frames["facts_full"])
-    duplicate_warning(frames["facts_full"]).write.parquet(f"{root}/{run_id}/duplicates")
     frames["facts_growth"] = growth_export(frames["facts_full"])
     frames["universe"] = universe(frames["metrics_long"], frames["valuation_history"],
                                   frames["facts_growth"], inputs.profiles)
@@ -120,8 +121,5 @@ def refresh(inputs: Inputs, root: str, run_id: str, as_of) -> dict:
 def as_of_snapshots(result: Calculated, price_history: DataFrame, cutoffs: list[str],
                     profiles: DataFrame, hidden: DataFrame) -> DataFrame:
     """Visible snapshot rows for a list of past dates."""
-    out = None
-    for cutoff in cutoffs:
-        snap = build_snapshot_as_of(cutoff, result.wide, price_history, result.averages)
-        out = snap if out is None else out.unionByName(snap)
+    out = build_snapshots_as_of(cutoffs, result.wide, price_history, result.averages)
     return drop_hidden(out, profiles, hidden).orderBy("ticker", F.col("end"), "concept")

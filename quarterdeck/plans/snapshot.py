@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ LATEST_ROWS = {
 }
 
 
-def latest_per_company(wide: DataFrame) -> DataFrame:
+def latest_per_company(wide: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """Everything the snapshot needs from the wide frame in one aggregation per company."""
     picks: list[Column] = [F.max("end").alias("newest_end")]
     for concept, field in LATEST_VALUES.items():
@@ -55,7 +57,7 @@ def latest_per_company(wide: DataFrame) -> DataFrame:
     for concept, field in LATEST_ROWS.items():
         picks.append(F.expr(
             f"max_by(`{concept}`, CASE WHEN `{concept}` IS NOT NULL THEN day END) AS `{field}`"))
-    found = wide.groupBy("ticker").agg(*picks)
+    found = wide.groupBy(*keys).agg(*picks)
     ages = {f"{f}_age_days": F.col(f"{f}_row_day") - F.col(f"{f}_day")
             for f in LATEST_VALUES.values()}
     found = found.withColumns({
@@ -71,7 +73,7 @@ def latest_per_company(wide: DataFrame) -> DataFrame:
     }).withColumn("_lag", F.datediff("newest_end", F.date_from_unix_date("_filed_shares_day")))
 
 
-def latest_averages(averages: DataFrame) -> DataFrame:
+def latest_averages(averages: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """Newest five-year averages per company with their two reliability flags."""
     known = averages.filter(F.col("mean").isNotNull())
     picks = []
@@ -80,7 +82,7 @@ def latest_averages(averages: DataFrame) -> DataFrame:
         picks += [F.expr(f"max_by(mean, {at}) AS {field}"),
                   F.expr(f"max_by(mean_median, {at}) AS {field}_median"),
                   F.expr(f"max_by(mean_n, {at}) AS {field}_n")]
-    out = known.groupBy("ticker").agg(*picks)
+    out = known.groupBy(*keys).agg(*picks)
     extra = {}
     for field in FIVE_YEAR_FIELDS.values():
         apart = F.try_divide(F.abs(F.col(field) - F.col(f"{field}_median")),
@@ -191,3 +193,25 @@ def build_snapshot_as_of(cutoff, wide: DataFrame, price_history: DataFrame,
         "ticker", F.col("_filed_shares").alias("shares_outstanding"))
     quotes = price_as_of(price_history, cutoff).join(shares, "ticker", "left")
     return build_snapshot(known, quotes, averages.filter(F.col("end") <= limit), cutoff)
+
+
+def build_snapshots_as_of(cutoffs: Sequence[str], wide: DataFrame, price_history: DataFrame,
+                          averages: DataFrame) -> DataFrame:
+    """The snapshots of a list of dates in one pass, as ``build_snapshot_as_of`` gives them.
+
+    A row goes to every date that it precedes, and one aggregation per company and date
+    combines it map-side: the plan has one size for any number of dates.
+    """
+    keys = ("ticker", "cutoff")
+    dates = F.array(*[F.lit(c).cast("date") for c in cutoffs])
+
+    def known(rows: DataFrame, day: str) -> DataFrame:
+        return rows.withColumn("cutoff", F.explode(F.filter(dates, lambda c: c >= F.col(day))))
+
+    quotes = known(price_history, "date").groupBy(*keys).agg(F.max_by("close", "date").alias("price"))
+    latest = latest_per_company(known(wide, "end"), keys)
+    snap = quotes.join(latest, list(keys), "left").withColumn("shares_outstanding", F.col("_filed_shares")).join(
+        latest_averages(known(averages, "end"), keys), list(keys), "left")
+    snap = with_current_multiples(with_share_source(snap))
+    long = unpivot_values(snap, published_fields(), keys, keep_null=False)
+    return long.select("ticker", F.col("cutoff").alias("end"), "concept", "value")

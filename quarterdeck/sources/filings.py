@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarterdeck import constants as K
 from quarterdeck import schemas
@@ -33,11 +34,28 @@ def flatten_company_facts(documents: DataFrame) -> DataFrame:
         "item.accn")
 
 
+def parsed_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``texts(ticker, text)`` to readable documents (ticker, facts), and those that are not
+    (ticker, text), which are set aside instead of failing the run or passing as empty.
+    """
+    schema = T.StructType([*schemas.COMPANY_FACTS_JSON.fields, T.StructField("_broken", T.StringType())])
+    parsed = texts.withColumn("_document", F.from_json(
+        "text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    sound = F.col("_document._broken").isNull() & F.col("_document.facts.us-gaap").isNotNull()
+    return (parsed.filter(sound).select("ticker", "_document.facts"),
+            parsed.filter(~F.coalesce(sound, F.lit(False))).select("ticker", "text"))
+
+
+def read_documents(spark: SparkSession, path: str, ticker_pattern: str = TICKER_IN_PATH) -> DataFrame:
+    """Documents as they are, one file per company: (ticker, text)."""
+    return spark.read.text(path, wholetext=True).select(
+        _ticker_from_path(ticker_pattern).alias("ticker"), F.col("value").alias("text"))
+
+
 def read_company_facts(spark: SparkSession, path: str,
                        ticker_pattern: str = TICKER_IN_PATH) -> DataFrame:
     """Company-facts documents, one JSON file per company."""
-    documents = (spark.read.schema(schemas.COMPANY_FACTS_JSON).option("multiLine", True)
-                 .json(path).select(_ticker_from_path(ticker_pattern).alias("ticker"), "facts"))
+    documents, _ = parsed_documents(read_documents(spark, path, ticker_pattern))
     return flatten_company_facts(documents)
 
 

@@ -290,6 +290,32 @@ def raw_filings_from_lineitem(lineitem: DataFrame) -> DataFrame:
         F.when(F.col("q") == 4, "10-K").otherwise("10-Q").alias("form"), "accn")
 
 
+def documents_from_filings(raw: DataFrame) -> DataFrame:
+    """The same facts as nested company documents: (ticker, text).
+
+    Every seventh company has a second document that breaks off in the middle.
+    """
+    fields = ["start", "end", "val", "filed", "fp", "fy", "form", "accn"]
+    in_order = lambda rows, value: F.transform(F.array_sort(F.collect_list(rows)), lambda r: r[value])
+    units = raw.groupBy("ticker", "tag", "unit", "unit_pos").agg(
+        in_order(F.struct("ordinal", F.struct(*fields).alias("item")), "item").alias("items"))
+    tags = units.groupBy("ticker", "tag").agg(F.map_from_entries(in_order(
+        F.struct("unit_pos", F.struct("unit", "items").alias("entry")), "entry")).alias("units"))
+    bodies = tags.groupBy("ticker").agg(F.map_from_entries(F.collect_list(
+        F.struct("tag", F.struct("units")))).alias("us-gaap"))
+    whole = bodies.select("ticker", F.to_json(F.struct(F.struct("us-gaap").alias("facts"))).alias("text"))
+    cut = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    texts = F.when(F.substring("ticker", 2, 20).cast("long") % 7 == 0, F.array(F.col("text"), cut))
+    return whole.select("ticker", F.explode(F.coalesce(texts, F.array("text"))).alias("text"))
+
+
+def company_layer(profiles: DataFrame, layers: DataFrame) -> DataFrame:
+    """``layers`` (owner = layer0, layer1 ...) as company sources: a company's number mod 4 names its layer."""
+    key = F.substring("ticker", 2, 20).cast("long") % 4
+    owners = profiles.select("ticker", F.concat(F.lit("layer"), key.cast("string")).alias("owner"))
+    return owners.join(layers, "owner").drop("owner").withColumnRenamed("ticker", "owner")
+
+
 def known_bad_from_filings(raw: DataFrame) -> DataFrame:
     """A correction table for tests: some goodwill facts of a few suppliers."""
     return raw.filter((F.col("tag") == "Goodwill") & (F.col("ordinal") % 50 == 0)).select(

@@ -21,4 +21,4 @@ def test_matches_reference_sql(spark, connection, name):
 
 def test_which_queries_have_no_sql():
     assert set(entry.QUERIES) - set(entry.oracle_sql()) == {
-        "scale_repair", "nightly_facts", "nightly_snapshot"}
+        "nightly_snapshot"}

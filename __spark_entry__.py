@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import cached_property
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,7 +23,7 @@ from quarterdeck.operators import asof, filing_periods, periods, ratios, reshape
 from quarterdeck.operators import scale_repair, share_basis, timeseries as ts, visibility
 from quarterdeck.plans import coverage, derived, facts as facts_plan, freshness, metrics
 from quarterdeck.plans import refresh, snapshot, valuation, views, wide as wide_plan
-from quarterdeck.session import cut_lineage
+from quarterdeck.session import cut_lineage, shared_folder
 from quarterdeck.sources import filings, prices, published
 from quarterdeck.sources import tables as T
 
@@ -31,7 +33,7 @@ except ImportError:
     llm_queries = None
 
 #: queries about absence read facts and prices that lack some values
-ABOUT_GAPS = frozenset("latest_values latest_rows scale_reference coverage_flags empty_panels null_columns "
+ABOUT_GAPS = frozenset("coverage_report latest_values latest_rows scale_reference coverage_flags empty_panels null_columns "
                        "available_concepts share_history_absent tickers_without_data".split())
 SMOKE_DIR = "/root/testdata/sf0.001"
 YEARS = 5
@@ -694,6 +696,22 @@ def comparison(d: Data) -> DataFrame:
     return views.comparison_counts(d.history, d.profiles, d.hidden, YEARS, AS_OF)
 
 
+@query
+def comparison_requests(d: Data) -> DataFrame:
+    """Requests that name the companies of a group, and one concept each."""
+    key = F.substring("ticker", 2, 20).cast("long")
+    concepts = F.array(F.lit("pe_ratio"), F.lit("p_tbv"), F.lit("ev_ebitda"))
+    requests = d.profiles.select("ticker", F.explode(concepts).alias("concept")).select(
+        F.concat("concept", F.lit("-"), F.when(key == 1, "alone").otherwise((key % 7).cast("string"))).alias("request"),
+        "concept", "ticker")
+    return views.compare_requests(d.history, requests, d.profiles, d.hidden, YEARS, AS_OF)
+
+
+@query
+def raw_fact_series(d: Data) -> DataFrame:
+    return views.raw_fact_series(d.facts, YEARS, AS_OF)
+
+
 @query
 def flag_summary(d: Data) -> DataFrame:
     return views.flag_summary(d.metrics)
@@ -735,6 +753,50 @@ def routed_values(d: Data) -> DataFrame:
 
 # --- published run ----------------------------------------------------------
 
+@query
+def price_scan(d: Data) -> DataFrame:
+    """Landed price files, some of them from before the split column."""
+    folder = f"{shared_folder(d.spark)}/prices-{uuid.uuid4().hex}"
+    odd = F.substring("ticker", 2, 20).cast("long") % 2 == 1
+    rows = d.prices.withColumn("date", F.col("date").cast("timestamp"))
+    rows.filter(odd).drop("stock_split").write.parquet(f"{folder}/without")
+    rows.filter(~odd).write.parquet(f"{folder}/with")
+    return prices.read_price_history(d.spark, f"{folder}/*")
+
+
+@query
+def quotes_landed(d: Data) -> DataFrame:
+    return prices.quotes(d.quotes)
+
+
+@query
+def unresolved_tickers(d: Data) -> DataFrame:
+    entries, _ = _identifiers(d)
+    return filings.unresolved(d.profiles, filings.identifier_map(entries, min_entries=1))
+
+
+@query
+def coverage_report(d: Data) -> DataFrame:
+    expected = tag_merge.expected_concepts(d.sources, d.profiles, R.excluded_frame(d.spark))
+    return coverage.coverage_report(coverage.coverage_flags(d.facts, expected), d.profiles).drop("hint")
+
+
+@query
+def owner_cash_flow(d: Data) -> DataFrame:
+    return reshape.unpivot_states(d.wide_without_prices, ["owner_fcf"])
+
+
+@query
+def published_run(d: Data) -> DataFrame:
+    """The frames of a run, published, and read back through the manifest: the universe."""
+    profiles, hidden = d.profiles, d.hidden
+    result = refresh.calculate(d.facts, d.prices, d.quotes, profiles, AS_OF)
+    root = f"{shared_folder(d.spark)}/published-{uuid.uuid4().hex}"
+    published.publish(refresh.published_frames(result, profiles, hidden), profiles.select("ticker"), root, "run",
+                      datetime.fromisoformat(AS_OF))
+    return published.read_frame(d.spark, root, "run", "universe")
+
+
 @query
 def universe_manifest(d: Data) -> DataFrame:
     profiles, hidden, wide = d.profiles, d.hidden, d.shared_wide

@@ -122,6 +122,34 @@ WHERE place = 1 AND value IS NOT NULL AND newest - pe <= 365""",
     LEFT JOIN (SELECT ticker, concept, count(*) AS n FROM f1 GROUP BY ALL) f
       ON w.ticker = f.ticker AND w.concept = f.concept)) e
 WHERE e.n / CAST(e.best AS DOUBLE) < 0.5""",
+    "coverage_report": f"""SELECT p.profile, e.ticker, e.concept, CASE WHEN e.n = 0 THEN 'MISSING' ELSE 'thin' END AS marker,
+  e.n AS count, e.best AS max_for_ticker, e.n / CAST(e.best AS DOUBLE) AS ratio FROM (
+  SELECT *, max(n) OVER (PARTITION BY ticker) AS best FROM (
+    SELECT w.ticker, w.concept, coalesce(f.n, 0) AS n
+    FROM (SELECT DISTINCT t.ticker, s.concept FROM profiles t JOIN sources s ON s.profile = t.profile
+          WHERE NOT EXISTS (SELECT 1 FROM excluded x WHERE x.profile = t.profile AND x.concept = s.concept)) w
+    SEMI JOIN f1 ON w.ticker = f1.ticker
+    LEFT JOIN (SELECT ticker, concept, count(*) AS n FROM f1 GROUP BY ALL) f
+      ON w.ticker = f.ticker AND w.concept = f.concept)) e JOIN profiles p USING (ticker)
+WHERE e.n / CAST(e.best AS DOUBLE) < 0.5""",
+    "price_scan": "SELECT ticker, dt AS date, close, stock_split FROM px",
+    "quotes_landed": "SELECT ticker, price, shares_outstanding, price * shares_outstanding AS market_cap FROM quotes",
+    "unresolved_tickers": "SELECT 'S' || s_suppkey AS ticker FROM supplier WHERE s_suppkey % 4 = 0",
+    "owner_cash_flow": f"""SELECT ticker, 'owner_fcf' AS concept, {END}, a.value - b.value AS value
+FROM (SELECT ticker, pe, value FROM af WHERE concept = 'FCF_TTM') a
+JOIN (SELECT ticker, pe, value FROM af WHERE concept = 'ShareBasedCompensation_TTM') b USING (ticker, pe)""",
+    "raw_fact_series": f"""SELECT ticker, concept, {END}, value FROM f1 WHERE pe >= DATE '{AS_OF}' - INTERVAL 5 YEAR
+  AND (ticker, concept) IN (SELECT (ticker, concept) FROM f1 WHERE value IS NOT NULL)""",
+    "comparison_requests": """SELECT request, a.ticker, a.concept, coalesce(n_points, 0) AS n_points, coalesce(n_outliers, 0) AS n_outliers,
+  CASE WHEN companies < 2 THEN 'too few companies'
+    WHEN h.concept IS NOT NULL THEN concat('for profile ', chr(39), a.profile, chr(39), ' not shown')
+    WHEN coalesce(n_points, 0) = 0 THEN 'No Data' END AS reason
+FROM (SELECT *, count(*) OVER (PARTITION BY request) AS companies FROM (
+  SELECT ticker, profile, concept, concept || '-' || CASE WHEN k = 1 THEN 'alone' ELSE CAST(k % 7 AS VARCHAR) END AS request
+  FROM (SELECT *, CAST(substr(ticker, 2) AS BIGINT) AS k FROM profiles), (VALUES ('pe_ratio'), ('p_tbv'), ('ev_ebitda')) AS c(concept))) a
+LEFT JOIN (SELECT ticker, concept, count(value) AS n_points, count(*) FILTER (is_outlier) AS n_outliers FROM marked GROUP BY ALL) m
+  ON m.ticker = a.ticker AND m.concept = a.concept
+LEFT JOIN hidden h ON h.profile = a.profile AND h.concept = a.concept""",
     "hidden_filter": f"SELECT ticker, concept, {END}, value FROM vis",
     "visibility_matrix": """SELECT p.ticker, m.id, m.chart,
   NOT EXISTS (SELECT 1 FROM hidden h WHERE h.profile = p.profile AND h.concept = m.id) AS shown
@@ -206,10 +234,11 @@ QUALIFY row_number() OVER (PARTITION BY ticker, concept ORDER BY pe) = 1""",
   SELECT * FROM f1 UNION ALL SELECT * FROM f1 WHERE concept = 'Goodwill') GROUP BY ALL HAVING count(*) > 1""",
     **filings.STATEMENTS,
 }
+STATEMENTS["published_run"] = STATEMENTS["universe_manifest"]
 
 
 #: statements about absence: on facts and prices that lack some values
-ABOUT_GAPS = frozenset("latest_values latest_rows scale_reference coverage_flags empty_panels null_columns "
+ABOUT_GAPS = frozenset("coverage_report latest_values latest_rows scale_reference coverage_flags empty_panels null_columns "
                        "available_concepts share_history_absent tickers_without_data".split())
 
 

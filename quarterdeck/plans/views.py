@@ -168,6 +168,33 @@ def comparison_counts(data: DataFrame, profiles: DataFrame, hidden: DataFrame, y
         .otherwise("shown").alias("status"))
 
 
+def compare_requests(data: DataFrame, requests: DataFrame, profiles: DataFrame, hidden: DataFrame,
+                     years: int, as_of) -> DataFrame:
+    """``requests(request, concept, ticker)`` with what each shows: n_points, n_outliers, reason.
+
+    All requests are answered together: series are judged once, however many requests name them.
+    A request of fewer than two companies, a hidden concept and a series without values are
+    left out with a reason.
+    """
+    asked = with_profile(requests.select("request", "concept", "ticker").distinct(), profiles)
+    of_request = Window.partitionBy("request", "concept")
+    asked = asked.withColumn("_companies", F.count(F.lit(1)).over(of_request))
+    valued = F.array(*[F.lit(m.id) for m in METRICS if m.chart == VALUATION])
+    named = asked.select(*SERIES).distinct()
+    rows = outlier_mask(trailing_years(data.join(named, SERIES, "left_semi"), years, as_of))
+    counted = rows.groupBy(*SERIES).agg(
+        F.count("value").alias("n_points"),
+        F.count_if(F.col("is_outlier") & F.array_contains(valued, F.col("concept"))).alias("n_outliers"))
+    marks = hidden.select("profile", "concept", F.lit(True).alias("_hidden")).distinct()
+    found = asked.join(counted, SERIES, "left").join(marks, ["profile", "concept"], "left")
+    n = F.coalesce("n_points", F.lit(0))
+    reason = (F.when(F.col("_companies") < K.COMPARISON_MIN_TICKERS, "too few companies")
+              .when(F.col("_hidden"), F.concat(F.lit("for profile '"), F.col("profile"), F.lit("' not shown")))
+              .when(n == 0, "No Data"))
+    return found.select("request", *SERIES, n.alias("n_points"),
+                        F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"), reason.alias("reason"))
+
+
 def available_concepts(facts: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Concepts with at least one value; only fetched ones when ``sources`` is given."""
     known = facts.filter(F.col("value").isNotNull()).groupBy(*SERIES).agg(

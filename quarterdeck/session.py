@@ -26,21 +26,30 @@ def build_session(app_name: str = "quarterdeck", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, or its context's checkpoint folder.
+
+    Where neither is set, a session on one machine gets a temporary folder (tests); on a cluster,
+    whose executors share no local disk, that is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="quarterdeck-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the cluster's shared checkpoint folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Where it names none,
-    a session on one machine gets a temporary folder; on a cluster, whose executors share no
-    local disk, that is an error.  Checkpoint files survive the loss of an executor, so later
-    stages never recompute what is behind the cut.
+    Checkpoint files survive the loss of an executor, so later stages never recompute what is
+    behind the cut.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="quarterdeck-")
-        context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

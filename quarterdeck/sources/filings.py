@@ -82,13 +82,14 @@ def identifier_map(entries: DataFrame, overrides: DataFrame | None = None,
     """``entries(ticker, cik_str)`` to zero-padded identifiers; overrides win.
 
     Of several identifiers the greatest number wins.  A file with implausibly few entries
-    fails the job instead of yielding a thin universe.
+    fails the job, where it runs, instead of yielding a thin universe.
     """
     padded = entries.groupBy("ticker").agg(
         F.lpad(F.max(F.col("cik_str").cast("long")).cast("string"), 10, "0").alias("cik"))
-    found = entries.select("ticker").distinct().limit(min_entries).count()
-    if found < min_entries:
-        raise ValueError(f"identifier file yields only {found} entries, fewer than {min_entries}")
+    found = entries.agg(F.count_distinct("ticker")).scalar()
+    thin = F.raise_error(F.concat(F.lit("identifier file yields only "), found.cast("string"),
+                                  F.lit(f" entries, fewer than {min_entries}")))
+    padded = padded.withColumn("cik", F.when(found >= min_entries, F.col("cik")).otherwise(thin))
     if overrides is None:
         return padded
     wanted = overrides.select("ticker", F.col("cik").alias("_override"))

@@ -23,7 +23,8 @@ def price_history(rows: DataFrame) -> DataFrame:
 
 
 def read_price_history(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    # files from before a column was added lack it
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read.option("mergeSchema", True)
     if fmt == "csv":
         reader = reader.schema("ticker string, date timestamp, close double, stock_split double")
     return price_history(reader.format(fmt).load(path))

@@ -16,6 +16,7 @@ from quarterdeck.registry import GROWTH_PANELS
 FRAMES = ("metrics_long", "valuation_history", "facts_growth", "facts_full",
           "current_snapshot", "universe")
 MANIFEST = "manifest"
+ZONES = "zones"
 
 
 def growth_export(facts: DataFrame) -> DataFrame:
@@ -77,6 +78,13 @@ def publish(frames: Mapping[str, DataFrame], requested: DataFrame, root: str, ru
         keys = [c for c in ("ticker", "concept", "end") if c in frames[name].columns]
         rows[name] = _write_counted(frames[name], f"{run}/{name}", keys)
     spark = requested.sparkSession
+    zones = None
+    for name in FRAMES:
+        files = spark.read.parquet(f"{run}/{name}").groupBy(
+            F.lit(name).alias("frame"), F.col("_metadata.file_path").alias("file")).agg(
+            F.min("ticker").alias("least"), F.max("ticker").alias("greatest"))
+        zones = files if zones is None else zones.unionByName(files)
+    zones.coalesce(1).write.parquet(f"{run}/{ZONES}")
     produced = spark.read.parquet(f"{run}/universe")
     absent = without_data(requested, produced)
     absent.write.parquet(f"{run}/tickers_without_data")
@@ -105,12 +113,20 @@ def read_manifest(spark: SparkSession, root: str, run_id: str) -> dict:
 
 def read_frame(spark: SparkSession, root: str, run_id: str, name: str,
                ticker: str | None = None) -> DataFrame:
-    """A frame of a complete run; the company filter reaches the scan."""
+    """A frame of a complete run; for one company only the files that can have it are opened."""
     manifest = read_manifest(spark, root, run_id)
     if set(FRAMES) - set(manifest["rows"]):
         raise FileNotFoundError(f"run {run_id} is incomplete")
-    frame = spark.read.parquet(f"{root}/{run_id}/{name}")
-    return frame if ticker is None else frame.filter(F.col("ticker") == ticker)
+    path = f"{root}/{run_id}/{name}"
+    if ticker is None:
+        return spark.read.parquet(path)
+    # frames are in order of companies, so few files can have one
+    zones = spark.read.parquet(f"{root}/{run_id}/{ZONES}").filter(
+        (F.col("frame") == name) & (F.col("least") <= ticker) & (F.col("greatest") >= ticker))
+    files = [row["file"] for row in zones.select("file").collect()]
+    schema = spark.read.parquet(path).schema
+    frame = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    return frame.filter(F.col("ticker") == ticker)
 
 
 def freshness(spark: SparkSession, root: str, run_id: str) -> DataFrame:

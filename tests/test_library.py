@@ -59,8 +59,8 @@ def test_base_concept_strips_derivations(spark):
 
 def test_thin_identifier_file_fails(spark):
     entries = spark.createDataFrame([("A", 12)], "ticker string, cik_str long")
-    with pytest.raises(ValueError):
-        identifier_map(entries)
+    with pytest.raises(Exception, match="only 1 entries"):
+        identifier_map(entries).collect()
     assert rows(identifier_map(entries, min_entries=1), "cik") == [("0000000012",)]
 
 
@@ -91,6 +91,7 @@ def test_a_run_is_readable_only_with_its_manifest(spark, tmp_path):
     manifest = published.publish(frames, requested, root, "r1", datetime(2020, 7, 1))
     assert manifest["rows"]["metrics_long"] == 1 and manifest["tickers_requested"] == 2
     assert published.read_frame(spark, root, "r1", "metrics_long", "A").count() == 1
+    assert published.read_frame(spark, root, "r1", "metrics_long", "B").count() == 0
     absent = spark.read.parquet(f"{root}/r1/tickers_without_data")
     assert rows(absent, "ticker") == [("Z",)]
 
@@ -119,3 +120,27 @@ def test_sweep_lifts_what_both_directions_allow(spark):
     assert lists["up"] == [5e8, 5.1e8, 5e8, None, 5.2e8, 0.0, 5.3e8]
     assert lists["short"] == rows["short"]
     assert lists["drop"] == [5e8, 5e8, 5e8, 4e8, 4e8, 4e8, 4e8]
+
+
+def test_one_company_opens_few_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    long = spark.range(20_000).select(
+        F.format_string("T%04d", (F.col("id") % 500).cast("int")).alias("ticker"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int") % 40).alias("end"),
+        F.lit("roe").alias("concept"), F.col("id").cast("double").alias("value"))
+    universe = long.groupBy("ticker").agg(F.lit("standard").alias("profile"), F.count("*").alias("n_metrics"),
+                                          F.lit(0).alias("n_valuation"), F.lit(0).alias("n_growth"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        published.publish({name: long for name in published.FRAMES} | {"universe": universe},
+                          long.select("ticker"), str(tmp_path), "r1", datetime(2020, 7, 1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    whole = published.read_frame(spark, str(tmp_path), "r1", "metrics_long")
+    one = published.read_frame(spark, str(tmp_path), "r1", "metrics_long", "T0123")
+    assert one.count() == 40 and len(one.inputFiles()) == 1 < len(whole.inputFiles())
+    for part in whole.rdd.glom().collect():
+        keys = [(r.ticker, r.concept, r.end) for r in part]
+        assert keys == sorted(keys)

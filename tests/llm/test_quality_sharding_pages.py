@@ -1,7 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from quarterdeck.llm import quality, sharding, site_tree
+from quarterdeck.llm.scratch import Scratch
 from tests.llm.helpers import docs, invented, rng
 
 
@@ -101,3 +104,76 @@ def test_articles_and_own_blocks_stay_beside_repeated_ones(spark):
     got = {x.page_id: x.text for x in site_tree.extract(df).collect()}
     assert got == {**{i: f"Article {i}" for i in range(10)}, **{100 + i: f"Article {i}" for i in range(10)},
                    **{200 + i: f"Article {i}\nOwn {i}" for i in range(10)}}
+
+
+def test_names_that_only_mention_asides_keep_their_text(spark):
+    kept = ["<div class='with-sidebar'><article><p>T</p></article></div>", "<article class='post ad-free'>T</article>",
+            "<main class='no-sidebar'>T</main>", "<article><p class='social-history'>T</p></article>"]
+    gone = ["<div class='sidebar'>T</div>", "<div class='big site-header'>T</div>", "<div id='comment-list'>T</div>",
+            "<section class='cookie_notice'>T</section>", "<div role='navigation'>T</div>", "<article class='comment'>T</article>"]
+    df = spark.createDataFrame([(i, f"http://h{i}.org/", p) for i, p in enumerate(kept + gone)],
+                               "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in site_tree.extract(df).collect()}
+    assert got == {i: "T" if i < len(kept) else "" for i in range(len(kept + gone))}
+
+
+def slow_importance(pages):
+    """Node -> importance on one host, by walking up from every block."""
+    content, layout, parent = {}, {}, {}
+    for page in pages:
+        texts, layouts = site_tree.blocks(page)
+        for node, up, _, children in layouts:
+            parent[node] = up
+            layout.setdefault(node, []).append(children)
+        for node, aside, main, _, text in texts:
+            if not (aside or main) and node != site_tree.ROOT:
+                content.setdefault(node, []).append(text)
+    nlogn = lambda items: sum(n * np.log(n) for n in Counter(items).values())
+    below = {}
+    for node, texts in content.items():
+        at = node
+        while at != site_tree.ROOT:
+            n, total = below.get(at, (0, 0.0))
+            below[at] = n + len(texts), total + nlogn(texts)
+            at = parent[at]
+    size, out = np.log(len(pages)), {}
+    for node, (n, total) in below.items():
+        styles = layout[node]
+        weight = site_tree.GAMMA ** min(len(set(styles)), 50)
+        spread = np.log(len(styles)) - nlogn(styles) / len(styles)
+        out[node] = (1 - weight) * spread / size + weight * (1 - total / n / size)
+    return out, parent
+
+
+def test_importance_and_removed_nodes_match_brute_force(spark, tmp_path):
+    r = rng()
+
+    def branch(depth):
+        inner = f"text {r.integers(0, 4)}" if r.random() < 0.5 else "same"
+        for _ in range(int(r.integers(0, depth))):
+            inner = f"<div class='k{r.integers(0, 3)}'>{inner}</div>" + ("x" if r.random() < 0.3 else "")
+        return inner
+
+    fixed = "<div class='fix'><div class='in'>Same</div><div class='in'>Same</div></div>"
+    pages = [f"<body>{fixed}{''.join(f'<section>{branch(9)}</section>' for _ in range(int(r.integers(1, 5))))}</body>" for _ in range(30)]
+    pages += ["<div>" * 40 + f"deep {i}" for i in range(3)]
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(4)
+    scratch = Scratch(spark, "importance-test")
+    scores, parents, deepest = site_tree.importance(site_tree.style_counts(df), scratch)
+    want, parent = slow_importance(pages)
+    got = {x.node: x.importance for x in scores.collect()}
+    assert got == {n: pytest.approx(v, abs=1e-9) for n, v in want.items()}
+    keep = set()
+    for node, value in want.items():
+        while value >= site_tree.THRESHOLD and node != site_tree.ROOT:
+            keep.add(node)
+            node = parent[node]
+    low = set(want) - keep
+    removed = site_tree.removable(scores, parents, deepest, scratch).collect()
+    assert {n for x in removed for n in x.removed} == {n for n in low if parent[n] not in low} != set()
+
+
+def test_deep_pages_take_time_in_proportion(spark):
+    rows = [(i, "http://deep.org/", f"<div>a{i}" * (20_000 if i else 9000)) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(x.n_chars > 0 for x in site_tree.extract(df).collect())

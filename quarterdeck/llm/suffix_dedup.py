@@ -396,25 +396,39 @@ def cut_out(data: bytes, starts: list[tuple[int, int]]) -> tuple[bytes, list[tup
     return b"".join([*kept, data[at:]]), [(a, b) for a, b in spans]
 
 
+def different_texts(texts: DataFrame, equal: DataFrame) -> DataFrame:
+    """``texts`` with one row of each row_id; ``equal`` are the row_ids that occur more than once."""
+    once = texts.join(equal, "row_id", "left_anti")
+    return once.unionByName(texts.join(equal, "row_id", "left_semi").groupBy("row_id").agg(F.first("text").alias("text")))
+
+
 def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with
     ``with_kept`` also spans (array of first and end byte) and kept (binary, what is left).
 
     Texts are taken as UTF-8 bytes, null as empty; strings are judged on the texts as given.
     Every occurrence goes, the first one too.  Rows repeated with one doc_id are documents of
-    their own, and so remove each other if long enough.  Other columns are ignored.
+    their own, and so remove each other if long enough; of rows equal in doc_id and text,
+    whatever their number, one is compared with the others.  Other columns are ignored.
     """
     # rows equal in doc_id and text share a row_id; they also share what is removed from them
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("row_id", F.xxhash64("doc_id", "text"))
-    texts = rows.select("row_id", "text")
+    equal = Scratch(docs.sparkSession, "equal-rows").write(
+        rows.groupBy("row_id").count().filter("count > 1").select("row_id"), "equal")
+    texts = different_texts(rows.select("row_id", "text"), equal)
     starts = removed_starts(texts).groupBy("row_id").agg(F.collect_list(F.struct("start", "strings")).alias("starts"))
+    # a row that has an equal one loses every byte that a string of LENGTH covers
+    whole = equal.select("row_id", F.lit(True).alias("whole"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, found, whole in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 data = text.encode("utf-8", "replace")
-                kept, spans = cut_out(data, [(s["start"], s["strings"]) for s in found or ()])
+                if whole and len(data) >= LENGTH:
+                    kept, spans = cut_out(data, [(0, len(data) - LENGTH + 1)])
+                else:
+                    kept, spans = cut_out(data, [(s["start"], s["strings"]) for s in found or ()])
                 for column, value in zip(columns, (
                         len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans, kept)):
                     column.append(value)
@@ -428,4 +442,5 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (
         ", spans array<struct<first: long, end: long>>, kept binary" if with_kept else "")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if with_kept else [])]
-    return rows.join(starts, "row_id", "left").select(F.col("doc_id").cast("long"), "text", "starts").mapInArrow(cut, schema)
+    return rows.join(starts, "row_id", "left").join(whole, "row_id", "left").select(
+        F.col("doc_id").cast("long"), "text", "starts", "whole").mapInArrow(cut, schema)

@@ -70,3 +70,13 @@ def test_repeated_rows_empty_tables_and_clashing_columns(spark):
                  suffix_dedup.remove_repeats(df, with_kept=False).collect())
     assert got == [(0, 251, 250, 1), (1, 240, 240, 1), (1, 240, 240, 1), (2, 3, 0, 0), (2, 3, 0, 0)]
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_many_equal_rows_are_compared_once(spark):
+    from pyspark.sql import functions as F
+    long = invented(rng(), 120)
+    many = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(long).alias("text"))
+    few = spark.createDataFrame([(8, f"own start {long[:400]}"), (9, "alone " * 20)], "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(many.unionByName(few), with_kept=False).groupBy(
+        "doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, got)) == [(7, len(long), len(long), 1, 20_000), (8, 410, 400, 1, 1), (9, 120, 0, 0, 1)]

@@ -213,13 +213,50 @@ FROM (SELECT *, max(abs(rev)) OVER (PARTITION BY ticker ORDER BY pe
             FROM {_of(above)} a JOIN {_of('Revenue_TTM')} b USING (ticker, pe)))""".replace("(SELECT 1 * biggest)", "biggest")
 
 
+METRIC_SHARE, DEBT_SHARE = 0.01, 0.05
+# the definitions, written out here so that a mistake in the library's own tables shows
+_DIVISIONS = """
+net_interest_margin        = NetInterestIncome_TTM / Assets
+roa                        = NetIncomeLoss_TTM / Assets
+equity_to_assets           = StockholdersEquity / Assets
+net_investment_yield       = NetInvestmentIncome_TTM / Investments
+inventory_turnover         = CostOfRevenue_TTM / Inventory
+dio                        = Inventory / CostOfRevenue_TTM * 365
+dpo                        = AccountsPayable / CostOfRevenue_TTM * 365
+dso                        = AccountsReceivable / Revenue_TTM * 365
+efficiency_ratio           = NoninterestExpense_TTM / Revenue_TTM
+efficiency_ratio_quarterly = NoninterestExpense / Revenue
+provision_ratio            = ProvisionForCreditLosses_TTM / Revenue_TTM
+provision_ratio_quarterly  = ProvisionForCreditLosses / Revenue
+rd_intensity               = ResearchAndDevelopment_TTM / Revenue_TTM
+rd_intensity_quarterly     = ResearchAndDevelopment / Revenue
+capex_intensity            = Capex_TTM / Revenue_TTM
+capex_intensity_quarterly  = Capex / Revenue
+ffo_margin                 = FFO_TTM / Revenue_TTM
+ffo_margin_quarterly       = FFO_QUARTERLY / Revenue
+operating_margin_quarterly = OperatingIncomeLoss / Revenue
+fcf_margin_quarterly       = FCF_QUARTERLY / Revenue
+combined_ratio             = BenefitsLossesAndExpenses_TTM / EarnedPremiums_TTM
+combined_ratio_quarterly   = BenefitsLossesAndExpenses / EarnedPremiums
+loss_ratio                 = IncurredLosses_TTM / EarnedPremiums_TTM
+loss_ratio_quarterly       = IncurredLosses / EarnedPremiums
+"""
+
+
+def _divisions() -> list[str]:
+    lines = [line.split() for line in _DIVISIONS.strip().splitlines()]
+    return [ratio(name, above, below, factor=" ".join(["", *factor]))
+            for name, _, above, _, below, *factor in lines]
+
+
 def _ratios() -> list[str]:
-    from quarterdeck.plans import metrics as M
-    out = [ratio(n, a, b) for n, (a, b) in M._PLAIN.items()]
-    out += [ratio(n, a, b, factor=" * 365") for n, (a, b) in M._DAYS.items()]
+    out = _divisions()
     out += [ratio("payout_ratio", "DividendsPerShare_TTM", "EPS_TTM_CALC", True),
             ratio("payout_ratio_quarterly", "DividendsPerShare", "EPS_QUARTERLY_CALC", True)]
-    out += [guarded_ratio(n, *args) for n, args in M._GUARDED.items()]
+    out += [guarded_ratio("effective_tax_rate", "IncomeTaxExpense_TTM", "PretaxIncome_TTM", "Revenue_TTM", METRIC_SHARE),
+            guarded_ratio("roe", "NetIncomeLoss_TTM", "StockholdersEquity", "Revenue_TTM", METRIC_SHARE),
+            guarded_ratio("rotce", "NetIncomeLoss_TTM", "TangibleEquity", "Revenue_TTM", METRIC_SHARE),
+            guarded_ratio("debt_to_equity", "LongTermDebt", "StockholdersEquity", "LongTermDebt", DEBT_SHARE)]
     out += [self_guarded("operating_margin", "OperatingIncomeLoss_TTM"),
             self_guarded("fcf_margin", "FCF_TTM")]
     for name, concept in (("revenue_yoy_growth", "Revenue_TTM"), ("income_yoy_growth", "NetIncomeLoss_TTM"),
@@ -307,8 +344,13 @@ SELECT * FROM m1 WHERE concept <> 'net_debt' UNION ALL SELECT * FROM m2 UNION AL
 # --- valuation --------------------------------------------------------------
 
 
+#: what the multiples below read
+NEEDED = ("Revenue_TTM", "EPS_TTM_CALC", "DividendsPerShare_TTM", "FCF_TTM", "FFO_TTM", "EBITDA_TTM",
+          "ShareBasedCompensation_TTM", "PPNR", "CoreOperatingEarnings", "StockholdersEquity",
+          "TangibleEquity", "LongTermDebt", "CashAndEquivalents", "SharesOutstanding")
+
+
 def _needed() -> str:
-    from quarterdeck.plans.valuation import NEEDED
     return ", ".join(f"'{c}'" for c in NEEDED)
 
 
@@ -326,7 +368,6 @@ CTES["canonical"] = canonical_of("af", _needed())
 
 
 def _vwide() -> str:
-    from quarterdeck.plans.valuation import NEEDED
     picks = ", ".join(f"max(CASE WHEN concept = '{c}' THEN value END) AS {c}" for c in NEEDED)
     return f"""
 SELECT ticker, canonical AS pe, {picks}

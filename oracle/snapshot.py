@@ -4,13 +4,41 @@ from __future__ import annotations
 
 from oracle.common import AS_OF, CTES, CUTOFF, CUTOFFS, rounded
 from quarterdeck import registry as R
-from quarterdeck.plans import snapshot as S
+
+# concept and field, written out here so that a mistake in the library's own lists shows
+LATEST_VALUES = dict(pair.split() for pair in """
+SharesOutstanding           _filed_shares
+StockholdersEquity          equity
+TangibleEquity              tangible_equity
+LongTermDebt                debt
+CashAndEquivalents          cash
+Revenue_TTM                 revenue_ttm
+EPS_TTM_CALC                eps_ttm
+DividendsPerShare_TTM       dividends_ttm
+ShareBasedCompensation_TTM  sbc_ttm
+FFO_TTM                     ffo_ttm
+PPNR                        ppnr_ttm
+CoreOperatingEarnings       core_earnings_ttm
+""".strip().splitlines())
+SAME_NAME = """
+roa equity_to_assets net_interest_margin efficiency_ratio provision_ratio
+loss_ratio combined_ratio expense_ratio net_investment_yield reserve_growth
+inventory_turnover dio dso dpo cash_conversion_cycle
+rd_intensity capex_intensity operating_leverage""".split()
+LATEST_ROWS = {"FCF_TTM": "fcf_ttm", "EBITDA_TTM": "ebitda_ttm", "revenue_yoy_growth": "yoy_growth",
+               **{m: m for m in SAME_NAME}}
+AGED = [f"{f}_age_days" for f in LATEST_VALUES.values() if f != "_filed_shares"]
+PUBLISHED = """
+price shares_outstanding market_cap net_debt ev shares_source_is_edgar shares_delta_pct
+equity tangible_equity debt cash revenue_ttm eps_ttm dividends_ttm ppnr_ttm core_earnings_ttm
+pe_ratio pb_ratio pfcf_ratio ev_ebitda ev_sales pe_to_revenue_growth dividend_yield p_tbv p_ppnr
+p_core_earnings p_ffo ev_fcf pfcf_ex_sbc""".split() + [*LATEST_ROWS.values(), *AGED]
 
 
 def _snapshot(suffix: str, as_of: str, cut: str, quotes: str, peers: bool) -> str:
     """All snapshot rows; ``cut`` limits period ends."""
-    concepts = ", ".join(f"'{c}'" for c in S.LATEST_VALUES)
-    rows = ", ".join(f"'{c}'" for c in S.LATEST_ROWS)
+    concepts = ", ".join(f"'{c}'" for c in LATEST_VALUES)
+    rows = ", ".join(f"'{c}'" for c in LATEST_ROWS)
     CTES[f"lv{suffix}"] = f"""
 SELECT ticker, concept, pe, value, newest - pe AS age FROM (
   SELECT *, max(pe) OVER (PARTITION BY ticker, concept) AS newest,
@@ -30,9 +58,9 @@ SELECT ticker, concept, mean, med, n FROM (
     value = lambda c: f"(SELECT value FROM lv{suffix} v WHERE v.ticker = q.ticker AND v.concept = '{c}' AND v.age <= 365)"
     age = lambda c: f"(SELECT CAST(age AS DOUBLE) FROM lv{suffix} v WHERE v.ticker = q.ticker AND v.concept = '{c}' AND v.age BETWEEN 1 AND 365)"
     row = lambda c: f"(SELECT value FROM lr{suffix} v WHERE v.ticker = q.ticker AND v.concept = '{c}')"
-    cols = [f"{value(c)} AS {f}" for c, f in S.LATEST_VALUES.items()]
-    cols += [f"{age(c)} AS {f}_age_days" for c, f in S.LATEST_VALUES.items() if f != "_filed_shares"]
-    cols += [f"{row(c)} AS {f}" for c, f in S.LATEST_ROWS.items()]
+    cols = [f"{value(c)} AS {f}" for c, f in LATEST_VALUES.items()]
+    cols += [f"{age(c)} AS {f}_age_days" for c, f in LATEST_VALUES.items() if f != "_filed_shares"]
+    cols += [f"{row(c)} AS {f}" for c, f in LATEST_ROWS.items()]
     cols.append(f"(SELECT value FROM lv{suffix} v WHERE v.ticker = q.ticker AND v.concept = 'Revenue_TTM') AS scale")
     cols.append(f"(SELECT newest_any - v.pe FROM lv{suffix} v JOIN newest{suffix} n USING (ticker) "
                 f"WHERE v.ticker = q.ticker AND v.concept = 'SharesOutstanding') AS lag")
@@ -62,10 +90,7 @@ SELECT *, debt - cash AS net_debt, market_cap + (debt - cash) AS ev, fcf_ttm - s
         "p_ffo": guard("market_cap", "ffo_ttm"), "ev_fcf": guard("ev", "fcf_ttm"),
         "pfcf_ex_sbc": guard("market_cap", "owner")}
     CTES[f"s3{suffix}"] = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in multiples.items())} FROM s2{suffix}"
-    averaged = [f"{f}{s}" for f in R.FIVE_YEAR_FIELDS.values()
-                for s in ("", "_median", "_diverges", "_history_too_short")]
-    fields = [f for f in S.published_fields() if f not in averaged]
-    parts = [f"SELECT ticker, unnest([{', '.join(f'''{{'c': '{f}', 'v': CAST({f} AS DOUBLE)}}''' for f in fields)}]) AS x FROM s3{suffix}"]
+    parts = [f"SELECT ticker, unnest([{', '.join(f'''{{'c': '{f}', 'v': CAST({f} AS DOUBLE)}}''' for f in PUBLISHED)}]) AS x FROM s3{suffix}"]
     for metric, f in R.FIVE_YEAR_FIELDS.items():
         parts.append(f"""SELECT ticker, unnest([{{'c': '{f}', 'v': mean}}, {{'c': '{f}_median', 'v': med}},
   {{'c': '{f}_diverges', 'v': CAST(coalesce(abs(mean - med) / nullif(med, 0) > 0.2, false) AS DOUBLE)}},

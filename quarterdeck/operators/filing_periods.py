@@ -8,11 +8,6 @@ on that.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +15,6 @@ from quarterdeck import constants as K
 
 TAG = ("ticker", "tag")
 
-# the one Python step below travels with its code: executors need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def drop_known_bad(raw: DataFrame, known_bad: DataFrame) -> DataFrame:
     """Remove curated wrong facts ``(ticker, tag, end, filed, val)``."""
@@ -94,57 +86,73 @@ def latest_filed_durations(facts: DataFrame) -> DataFrame:
     ).withColumn("start", F.date_sub("end", F.col("days")))
 
 
-def _fold_mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replay the filing order of each key with one row of state.
+#: bits of the document order that a chunk of filings, a run of chunks and so on leave out
+_CHUNK_BITS, *_RUN_BITS = 9, 16, 23, 31
+_OUT = "named_struct('k', CAST(NULL AS INT), 'value', CAST(NULL AS DOUBLE), 'filed', CAST(NULL AS DATE))"
+# does row ``r`` replace state ``s``?  A state without filing date is the one before the first row.
+_REPLACES = "IF(s.days <> r.days, r.days < s.days, COALESCE(r.filed > s.filed, s.filed IS NULL))"
+# a chunk as a map: what each state becomes after its rows; null ``k`` where the state stays
+_CHUNK_MAP = f"""aggregate(rows, transform(states, s -> {_OUT}), (m, r) -> transform(states, (start, i) ->
+    IF(exists(array(IF(m[i].k IS NULL, start, states[m[i].k])), s -> {_REPLACES}),
+       named_struct('k', r.k, 'value', r.value, 'filed', r.filed), m[i])))"""
+# two maps one after the other
+_IN_ORDER = """aggregate(slice(maps, 2, size(maps)), maps[0].map, (f, g) -> transform(f, (out, i) ->
+    IF(out.k IS NULL, g.map[i], IF(g.map[out.k].k IS NULL, out, g.map[out.k]))))"""
+
+
+def _replay_mixed(facts: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Replay the filing order of the ends in ``mixed``, in chunks that fold on their own.
 
-    Input is sorted by key and document order; a key may span batches.
+    What a state turns into depends on its span and filing date alone, and of those the calendar
+    allows few to an end.  So a chunk of filings becomes a map from state to state; maps combine in
+    document order, by runs of bounded length, and the last one is read at the state before
+    the first filing.  No task holds more than one run of an end, however often it was filed.
     """
-    key = best = None
-    done: list[tuple] = []
-    columns = ["ticker", "tag", "end", "value", "filed"]
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            here = (row.ticker, row.tag, row.end)
-            if here != key:
-                if best is not None:
-                    done.append((*key, best.val, best.filed))
-                key, best = here, row
-                continue
-            spans_known = not (pd.isna(best.days) or pd.isna(row.days))
-            if spans_known and row.days != best.days:
-                better = row.days < best.days
-            else:
-                better = row.filed > best.filed
-            if better:
-                best = row
-        yield pd.DataFrame(done, columns=columns)
-        done = []
-    if best is not None:
-        yield pd.DataFrame([(*key, best.val, best.filed)], columns=columns)
+    key = [*TAG, "end"]
+    wide = _RUN_BITS[0]
+    part = lambda bits: F.shiftright("ordinal", bits)
+    # one row per run of an end, so that the filings of one end spread over tasks
+    runs = mixed.select(*key, F.explode(F.sequence(
+        F.lit(0).cast("long"), F.shiftright("_last", wide))).alias("_run"))
+    filed = facts.select(*key, F.col("ordinal").cast("long").alias("ordinal"), "days", "filed",
+                         F.col("val").alias("value")).withColumn("_run", part(wide))
+    row = F.struct("ordinal", "days", "filed", "value")
+    chunks = filed.join(runs, [*key, "_run"], "left_semi").groupBy(
+        *key, "_run", part(_CHUNK_BITS).alias("_chunk")).agg(
+        F.array_sort(F.collect_list(row)).alias("_all")).withColumn("_all", F.expr(
+            # a filing with the span and date of the one before it changes nothing
+            "filter(_all, (r, i) -> i = 0 OR NOT (r.days <=> _all[i - 1].days AND r.filed <=> _all[i - 1].filed))"))
+    states = chunks.select(*key, F.explode(F.expr(
+        "array_distinct(transform(_all, r -> named_struct('days', r.days, 'filed', r.filed)))")).alias("_state")).groupBy(
+        *key).agg(F.concat(
+            F.array(F.expr("named_struct('days', CAST(NULL AS INT), 'filed', CAST(NULL AS DATE))")),
+            F.array_sort(F.collect_set("_state"))).alias("states"))
+    maps = chunks.join(runs.join(states, key), [*key, "_run"]).withColumn("rows", F.expr(
+        "transform(_all, r -> named_struct('days', r.days, 'filed', r.filed, 'value', r.value, 'k', "
+        "CAST(array_position(states, named_struct('days', r.days, 'filed', r.filed)) - 1 AS INT)))")).select(
+        *key, F.shiftleft(F.col("_chunk"), _CHUNK_BITS).alias("ordinal"), F.expr(_CHUNK_MAP).alias("map"))
+    for bits in _RUN_BITS:
+        maps = maps.groupBy(*key, part(bits).alias("_part")).agg(F.array_sort(F.collect_list(
+            F.struct("ordinal", "map"))).alias("maps")).select(
+            *key, F.shiftleft(F.col("_part"), bits).alias("ordinal"), F.expr(_IN_ORDER).alias("map"))
+    return maps.select(*key, F.expr("map[0].value").alias("value"), F.expr("map[0].filed").alias("filed"))
 
 
 def latest_filed_instants(facts: DataFrame) -> DataFrame:
     """Per period end: the shortest averaging span, then the number filed last.
 
     Where some facts of an end have a span and others none, the rule compares neighbours in
-    document order and is not transitive.  Only those ends are replayed in order, from a
-    sorted stream that holds a single row of state.
+    document order and is not transitive.  Only those ends are replayed in order.
     """
     shortest = F.coalesce(F.lit(511) - F.col("days"), F.lit(0)).cast("long")
     order = (F.shiftleft(shortest, 47) + F.shiftleft(F.unix_date("filed").cast("long"), 31)
              + _earliest_first())
     best = facts.groupBy(*TAG, "end").agg(
         F.max_by("val", order).alias("value"), F.max_by("filed", order).alias("filed"),
+        F.max(F.col("ordinal").cast("long")).alias("_last"),
         (F.count("days") % F.count(F.lit(1)) != 0).alias("mixed"))
-    clear = best.filter(~F.col("mixed")).drop("mixed")
-    mixed = best.filter("mixed").select(*TAG, "end")
-    replayed = (facts.join(mixed, [*TAG, "end"], "left_semi")
-                .select(*TAG, "end", "ordinal", "days", "filed", F.col("val"))
-                .repartition(*[F.col(c) for c in TAG], F.col("end"))
-                .sortWithinPartitions(*TAG, "end", "ordinal")
-                .mapInPandas(_fold_mixed,
-                             "ticker string, tag string, end date, value double, filed date"))
-    return clear.unionByName(replayed)
+    clear = best.filter(~F.col("mixed")).drop("mixed", "_last")
+    return clear.unionByName(_replay_mixed(facts, best.filter("mixed").select(*TAG, "end", "_last")))
 
 
 def _accepted_and_annual(entries: DataFrame) -> DataFrame:

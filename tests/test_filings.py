@@ -1,6 +1,9 @@
 import json
+import random
 from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
 from quarterdeck import schemas
 from quarterdeck.operators import filing_periods as fp
 from quarterdeck.operators import scale_repair as scale
@@ -28,6 +31,49 @@ def test_instants_with_and_without_span_replay_document_order(spark):
     assert rows(out, "value") == [(6.0,)]
 
 
+def replayed(items):
+    """The rule one filing after the other: (span or None, filed, value) in document order."""
+    best = None
+    for span, filed, value in items:
+        if best is None:
+            best = span, filed, value
+        elif None not in (span, best[0]) and span != best[0]:
+            best = (span, filed, value) if span < best[0] else best
+        elif filed > best[1]:
+            best = span, filed, value
+    return best
+
+
+def test_mixed_spans_fold_in_chunks_like_a_replay(spark):
+    rng, end, tags = random.Random(7), date(2020, 6, 30), {}
+    for t in range(40):
+        # past the first chunk, and with ordinals that lie chunks and runs apart
+        count = rng.choice([2, 3, 5, 30, 700, 1500])
+        step = rng.choice([1, 1, 300, 70_000]) if count < 100 else 1
+        tags[f"T{t}"] = [(step * i, rng.choice([None, None, 85, 90, 360]),
+                          date(2020, 7, 1) + timedelta(days=rng.randrange(12)), float(i)) for i in range(count)]
+    data = [("A", tag, "USD", 0, o, None if d is None else end - timedelta(days=d), end, v, f, "Q1", 2020, "10-Q", "a")
+            for tag, items in tags.items() for o, d, f, v in items]
+    out = fp.tag_series(spark.createDataFrame(data, schemas.RAW_FACTS), "quarterly", True)
+    assert rows(out, "tag", "value", "filed") == sorted(
+        (tag, best[2], best[1]) for tag, best in ((t, replayed(i[1:] for i in items)) for t, items in tags.items()))
+
+
+def test_a_million_filings_of_one_end(spark):
+    span = F.element_at(F.expr("array(NULL, 80, 90, 360)"), (F.xxhash64("id", F.lit(1)) % 4 + 4).cast("int") % 4 + 1)
+    facts = spark.range(0, 1_000_000, 1, 4).select(
+        F.lit("A").alias("ticker"), F.lit("T").alias("tag"), F.lit("USD").alias("unit"), F.lit(0).alias("unit_pos"),
+        F.col("id").cast("int").alias("ordinal"), F.date_sub(F.lit(date(2020, 6, 30)), span).alias("start"),
+        F.lit(date(2020, 6, 30)).alias("end"), F.col("id").cast("double").alias("val"),
+        F.date_add(F.lit(date(2020, 7, 1)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(20)).cast("int")).alias("filed"),
+        F.lit("Q1").alias("fp"), F.lit(2020).alias("fy"), F.lit("10-Q").alias("form"), F.lit("a").alias("accn"))
+    items = facts.select(F.datediff("end", "start").alias("days"), "filed", "val").orderBy("ordinal").toPandas()
+    best = replayed((None if d != d else int(d), f, v) for d, f, v in zip(items.days, items.filed, items.val))
+    out = fp.tag_series(facts, "quarterly", True)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out, "value", "filed") == [(best[2], best[1])]
+
+
 def test_sixteen_week_quarters_need_three_of_a_kind(spark):
     def ladder(year, spans):
         start, items, total = date(year, 1, 1), [], 0.0

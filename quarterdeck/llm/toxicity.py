@@ -6,10 +6,12 @@ sequences, taken from labelled texts.  Where those are rare or absent, both fall
 same shared counts, which come from all texts, labelled or not: Kneser-Ney continuation
 counts, that is, how many different characters stand before a shorter sequence.
 
-A word's two log-likelihoods are compared, and a text's difference is the mean over its
-words of what goes beyond ``MARGIN``: topic and language shift every word of a text a
-little, a toxic expression shifts one word by far.  How great a difference means "toxic" is
-fitted on labelled texts that the models have not seen.
+A text's two log-likelihoods, normalised by its number of words, are compared: that of a toxic text,
+each of whose words comes from the toxic model with the probability ``SHARE`` and from the
+ordinary model else, and that of an ordinary one.  So every word counts, for either class.  As topic and
+language shift every word a little and a toxic expression shifts one word by far, the mean of
+what a word's difference has beyond ``MARGIN`` is a second input.  What both weigh is fitted on labelled
+texts that the models have not seen.
 
 The labelled sample and so the tables that travel to every task are bounded by
 ``SAMPLE_PER_CLASS``; the corpus counts cover every text and all its sequences, are combined as
@@ -34,8 +36,10 @@ from quarterdeck.llm.scratch import Scratch, crc32_of, whole_text
 ORDER = 5
 BITS = 12
 DISCOUNT = 0.75
-#: log-likelihood difference of a word that counts for nothing, and the mean excess that a
-#: text has anyway
+#: part of a toxic text's words that come from the toxic model
+SHARE = 0.01
+#: log-likelihood difference of a word beyond which the excess begins, and the mean excess that
+#: a text has anyway
 MARGIN = 2.0
 FLOOR = 0.01
 #: labelled texts of a class that are read, at most: three quarters for the models, the rest
@@ -124,6 +128,13 @@ class Counts:
         return np.where(total > 0, DISCOUNT * look_up(self.contexts, self.kinds, contexts) / np.maximum(total, 1), 1.0)
 
 
+def inputs_of(differences: np.ndarray) -> tuple[float, float]:
+    """Of a text's words: mean log-likelihood of a toxic text less that of an ordinary one, and
+    the logarithm of the mean excess."""
+    return (np.log1p(SHARE * np.expm1(np.minimum(differences, 50))).mean(),
+            np.log(FLOOR + np.maximum(differences - MARGIN, 0).mean()))
+
+
 @dataclass
 class Models:
     """Both classes' counts, the shared shorter ones, and the scale of the score."""
@@ -134,7 +145,7 @@ class Models:
     ordinary: Counts | None
     seen: tuple[np.ndarray, np.ndarray] | None = None
     left: tuple[np.ndarray, np.ndarray] | None = None
-    slope: float = 1.0
+    slopes: tuple[float, float] = (1.0, 0.0)
     offset: float = 0.0
 
     def compile(self) -> None:
@@ -160,16 +171,16 @@ class Models:
         return np.add.reduceat(each, np.concatenate(([0], np.cumsum(lengths)[:-1])))
 
     def scorer(self):
-        """Texts -> logarithm of the mean excess per word; words met before are remembered."""
+        """Texts -> ``inputs_of`` their words' differences; words met before are remembered."""
         known: dict[str, float] = {}
 
         def learn(words: set[str]):
             if words:
                 new = list(words)
-                known.update(zip(new, np.maximum(self.differences(new) - MARGIN, 0).tolist()))
+                known.update(zip(new, self.differences(new).tolist()))
 
         def score(texts: list[str]) -> np.ndarray:
-            out = np.full(len(texts), np.log(FLOOR))
+            out = np.tile(inputs_of(np.zeros(1)), (len(texts), 1))
             at = 0
             while at < len(texts):
                 # texts of about a million characters at a time
@@ -183,28 +194,32 @@ class Models:
                 learn(set().union(*part).difference(known))
                 for i, words in enumerate(part, at):
                     if words:
-                        out[i] = np.log(FLOOR + sum(map(known.__getitem__, words)) / len(words))
+                        out[i] = inputs_of(np.fromiter(map(known.__getitem__, words), float, len(words)))
                 at += len(part)
             return out
 
         return score
 
-    def probability(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -30, 30)))
+    def probability(self, inputs: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(inputs @ np.array(self.slopes) + self.offset, -30, 30)))
 
 
-def fit_scale(difference: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one feature by Newton steps, with a slight pull to zero."""
-    spread = difference.std() or 1.0
-    x = np.stack([difference / spread, np.ones(len(difference))], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        pull = np.array([1e-3, 1e-6]) * len(x)
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.diag(pull),
-                               x.T @ (weight * (toxic - p)) - pull * beta)
-        beta += step
-    return max(beta[0], 0.0) / spread, beta[1]
+def fit_scale(inputs: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Logistic regression by Newton steps, with a slight pull to zero; slopes are not negative."""
+    spread = np.where(inputs.std(axis=0) > 0, inputs.std(axis=0), 1.0)
+    used, slopes = list(range(inputs.shape[1])), np.zeros(inputs.shape[1])
+    while True:
+        x = np.column_stack([inputs[:, used] / spread[used], np.ones(len(inputs))])
+        beta, pull = np.zeros(x.shape[1]), np.append(np.full(len(used), 1e-3), 1e-6) * len(x)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            beta += np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.diag(pull),
+                                    x.T @ (weight * (toxic - p)) - pull * beta)
+        wrong = [k for k, b in zip(used, beta) if b < 0]
+        if not wrong:
+            slopes[used] = beta[:-1] / spread[used]
+            return tuple(slopes.tolist()), float(beta[-1])
+        used = [k for k in used if k not in wrong]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> pd.DataFrame:
@@ -262,13 +277,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = models.scorer()
         for batch in batches:
-            yield pd.DataFrame({"d": score(batch.text.tolist()), "toxic": batch.toxic, "weight": batch.weight})
+            found = score(batch.text.tolist())
+            yield pd.DataFrame({"ratio": found[:, 0], "excess": found[:, 1], "toxic": batch.toxic, "weight": batch.weight})
 
     models.shared, models.toxic, models.ordinary = [], None, None  # tasks need the tables alone
-    scale = held.mapInPandas(differences, "d double, toxic int, weight double").toPandas()
+    scale = held.mapInPandas(differences, "ratio double, excess double, toxic int, weight double").toPandas()
     if scale.toxic.nunique() == 2:
-        models.slope, models.offset = fit_scale(
-            scale.d.to_numpy(), scale.toxic.to_numpy(float), (scale.weight / scale.weight.mean()).to_numpy())
+        models.slopes, models.offset = fit_scale(
+            scale[["ratio", "excess"]].to_numpy(), scale.toxic.to_numpy(float), (scale.weight / scale.weight.mean()).to_numpy())
     return models
 
 

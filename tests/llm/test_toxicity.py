@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -91,3 +93,62 @@ def test_shared_counts_cover_the_whole_corpus(spark, monkeypatch, most_seen):
         assert mine.kinds.tolist() == toxicity.look_up(full.contexts, full.kinds, before).tolist()
         lower = np.full(len(wanted), 0.1)
         assert np.allclose(mine.interpolate(wanted, lower), full.interpolate(wanted, lower))
+
+
+def test_scores_are_those_of_models_written_out(spark, corpus):
+    table, labels, _ = corpus
+    models = toxicity.fit(table, labels)
+    chosen = toxicity.labelled_sample(table, labels, toxicity.SAMPLE_PER_CLASS)
+    text = {r.doc_id: r.text or "" for r in table.select("doc_id", "text").collect()}
+
+    def spelt(word):
+        symbols = [1] * 4 + [models.ids.get(c, 3) for c in toxicity.NOT_SPELT.sub("", word)] + [2]
+        return [tuple(symbols[i - 4:i + 1]) for i in range(4, len(symbols))]
+
+    def by_context(counts):
+        context = defaultdict(dict)
+        for sequence, n in counts.items():
+            context[sequence[:-1]][sequence[-1]] = n
+        return context
+
+    own = [by_context(Counter(s for d, t, part in zip(chosen.doc_id, chosen.toxic, chosen.part) if part and t == k
+                              for w in toxicity.words_of(text[d]) for s in spelt(w))) for k in (0, 1)]
+    longer, shared = {s for t in text.values() for w in toxicity.words_of(t) for s in spelt(w)}, {}
+    for length in (4, 3, 2, 1):
+        counts = Counter(s[1:] for s in longer)
+        shared[length], longer = by_context(counts), set(counts)
+
+    def probability(sequence, k):
+        p = 1 / (1 << toxicity.BITS)
+        for length in (1, 2, 3, 4, 5):
+            follow = (own[k] if length == 5 else shared[length]).get(sequence[5 - length:-1], {})
+            if follow:
+                d = toxicity.DISCOUNT
+                p = (max(follow.get(sequence[-1], 0) - d, 0) + d * len(follow) * p) / sum(follow.values())
+        return p
+
+    def difference(word):
+        return sum(math.log(probability(s, 1)) - math.log(probability(s, 0)) for s in spelt(word))
+
+    got = {r.doc_id: r.score for r in toxicity.toxicity(table, labels).collect()}
+    assert min(models.slopes) >= 0 < max(models.slopes)
+    for d in [*range(0, 60), 901, 903]:
+        each = [difference(w) for w in toxicity.words_of(text[d])[:400]] or [0.0]
+        ratio = sum(math.log(1 - toxicity.SHARE + toxicity.SHARE * math.exp(x)) for x in each) / len(each)
+        excess = math.log(toxicity.FLOOR + sum(max(x - toxicity.MARGIN, 0) for x in each) / len(each))
+        score = models.slopes[0] * ratio + models.slopes[1] * excess + models.offset
+        assert abs(got[d] - 1 / (1 + math.exp(-max(-30, min(30, score))))) < 1e-6
+
+
+def test_words_for_the_ordinary_class_count():
+    one, more = toxicity.inputs_of(np.array([5.0, 0.0])), toxicity.inputs_of(np.array([5.0, -5.0]))
+    assert more[0] < one[0] and more[1] == one[1]
+
+
+def test_slopes_are_not_negative():
+    r = rng()
+    toxic = (r.random(500) < 0.4).astype(float)
+    inputs = np.column_stack([-toxic + r.normal(size=500), toxic + r.normal(size=500)])
+    slopes, offset = toxicity.fit_scale(inputs, toxic, np.ones(500))
+    assert slopes[0] == 0 < slopes[1] and offset < 0
+    assert toxicity.fit_scale(-inputs * [0, 1], toxic, np.ones(500))[0] == (0.0, 0.0)

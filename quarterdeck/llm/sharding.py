@@ -6,8 +6,9 @@ lists the buckets that are left, with prefixes of different lengths.
 
 Sizes are first summed by prefixes long enough for nearly every bucket to fit, map-side, and
 rolled up from there; prefixes that still exceed the limit are split further, in rounds.  The
-hash covers doc_id and row, so rows that share a doc_id are split like any others.  The
-directory is a table and never passes through the driver.
+hash covers doc_id, text and the number among equal rows, so rows that share a doc_id are split
+like any others and every run, however the files are cut, gives the same shards.  The directory
+is a table and never passes through the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ LIMIT = 64 << 20
 #: bits read at a time beyond those that an even spread would need
 SLACK_BITS = 6
 MOST_BITS = 62
+#: equal rows that are numbered at a time
+RUN = 1 << 16
 
 
 def bits(depth) -> F.Column:
@@ -30,19 +33,31 @@ def bits(depth) -> F.Column:
     return F.expr(f"shiftrightunsigned(code, 64 - {depth})") if isinstance(depth, int) else depth
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and ``code``, one row per document; equal rows are counted, then numbered in runs."""
+    text = whole_text()
+    equal = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("digest")).groupBy(
+        "doc_id", "n_bytes", "digest").agg(F.count(F.lit(1)).alias("times"))
+    runs = equal.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.repartition("doc_id", "digest", "first")
+    last = F.least(F.col("first") + RUN, "times") - 1
+    return runs.withColumn("number", F.explode(F.sequence("first", last))).select(
+        "doc_id", "n_bytes", F.xxhash64("doc_id", "digest", "number").alias("code"))
+
+
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, shard, shard_bits, shard_bytes, shard_docs.
 
     ``shard`` is the bucket's prefix in binary ('' if all documents fit one shard).  Null
     texts count as empty.  A document larger than the limit gets a shard of its own, named
-    'large-' and its hash; no other shard exceeds the limit.  Rows repeated with one doc_id
-    are placed one by one.  Other columns are ignored.
+    'large-' and its hash, and so do those that share ``MOST_BITS`` bits and exceed it together; no other
+    shard exceeds the limit.  Rows repeated with one doc_id are placed one by one.  An empty
+    table gives an empty result; a text of any length counts whole.  Other columns are ignored.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
     scratch = Scratch(docs.sparkSession, "shards")
-    rows = scratch.write(docs.select("doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes")).withColumn(
-        "code", F.xxhash64("doc_id", F.monotonically_increasing_id())), "rows")
+    rows = scratch.write(numbered(docs), "rows")
     fitting = rows.filter(F.col("n_bytes") <= limit)
     total = fitting.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(MOST_BITS, ceil(log2(max(1, total / limit))) + SLACK_BITS)
@@ -80,7 +95,10 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         "probe", F.struct(F.lit(0).alias("shard_bits"), F.lit(0).cast("long").alias("prefix"))).limit(0)
     placed = probed.select("doc_id", "n_bytes", "probe.*").join(named, ["shard_bits", "prefix"]).select(
         "doc_id", "n_bytes", "shard", "shard_bits", "shard_bytes", "shard_docs")
-    large = rows.filter(F.col("n_bytes") > limit).select(
+    # what all bits leave together joins the large ones
+    alone = rows.filter(F.col("n_bytes") > limit).unionByName(
+        fitting.withColumn("cell", bits(depth) if depth else F.lit(0).cast("long")).join(too_large, "cell", "left_semi").drop("cell"))
+    large = alone.select(
         "doc_id", "n_bytes", F.concat(F.lit("large-"), F.hex("code")).alias("shard"), F.lit(MOST_BITS + 2).alias("shard_bits"),
         F.col("n_bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_docs"))
     return placed.unionByName(large)

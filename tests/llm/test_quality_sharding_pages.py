@@ -2,12 +2,25 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarterdeck.llm import quality, sharding, site_tree
 from quarterdeck.llm.scratch import Scratch
 from tests.llm.helpers import docs, invented, rng
 
 
+def test_shards_do_not_depend_on_how_rows_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    table = docs(spark, [f"text {i % 40} " * (i % 40) for i in range(200)]).withColumn("doc_id", F.col("doc_id") % 40)
+    found = [sorted(map(tuple, sharding.shard(x, 3000).collect())) for x in (
+        table.coalesce(1), table.repartition(5, "text"), table.orderBy(F.desc("doc_id")))]
+    assert len(found[0]) == 200 and found[0] == found[1] == found[2]
+    # equal rows are told apart, and what no bit splits any more is still placed
+    monkeypatch.setattr(sharding, "MOST_BITS", 2)
+    few = sharding.shard(docs(spark, ["x" * 900] * 60).withColumn("doc_id", F.lit(1)), 1000).collect()
+    assert len(few) == 60 and len({x.shard for x in few}) == 60 and {x.shard_bytes for x in few} == {900}
+
+
 def test_shards_fit_and_only_oversized_buckets_split(spark):
     r = rng()
     texts = [None, "", *[invented(r, int(n)) for n in r.integers(1, 400, 400)], "x" * 50_000, "é" * 3000]

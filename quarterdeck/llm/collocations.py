@@ -102,7 +102,8 @@ class Phrases:
             yield n, at, keys, start
             reached = self.entry(keys)
             kept = np.flatnonzero(reached < NEVER)
-            at, keys, reached = at[kept], keys[kept], reached[kept]
+            # a subphrase whose entry another took early is itself under way no earlier than its own subphrases
+            at, keys, reached = at[kept], keys[kept], np.maximum(reached[kept], start[kept])
             both = np.flatnonzero(at[1:] == at[:-1] + 1)
             start = np.maximum(reached[both], reached[both + 1])
             at = at[both]
@@ -160,10 +161,10 @@ def find_phrases(blocks: DataFrame, scratch: Scratch, words: int, threshold: int
         for other in recent[1:]:
             rows = rows.unionByName(other)
         found = reached(rows, threshold, buckets).toPandas()  # 1 << TABLE_BITS entries at most
-        new = found[since[found.entry.to_numpy(np.int64)] == NEVER]
-        since[new.entry.to_numpy(np.int64)] = scan + 1
-        if (new.n < longest).any():
-            last = scan + 1
+        entries = found.entry.to_numpy(np.int64)
+        since[entries[since[entries] == NEVER]] = scan + 1
+        # what may go on in longer phrases is counted for a whole cycle, also where the longest took its entry first
+        last = max(last, int(since[entries[found.n.to_numpy() < longest]].max(initial=0)))
         scan += 1
     for old in range(max(0, scan - shards), scan):
         scratch.drop(f"scan{old}")

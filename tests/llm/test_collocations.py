@@ -76,6 +76,13 @@ def test_full_table_and_small_buckets_change_nothing(spark, monkeypatch):
     assert found(collocations(table(spark, rows), 10, shards=3, block_words=200)) == slow_collocations(rows, 10)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_entries_that_another_phrase_took_early_lose_no_phrase(spark, monkeypatch, seed):
+    monkeypatch.setattr(module, "TABLE_BITS", 9)
+    rows = invented_rows(seed)
+    assert found(collocations(table(spark, rows), 8, shards=2, block_words=300)) == slow_collocations(rows, 8)
+
+
 def test_phrases_that_become_frequent_late_are_counted_from_the_start(spark):
     # one block per text and shards by chance: whichever comes last, all of a phrase is counted
     rows = [("en", "alpha beta gamma delta")] * 12 + [("en", f"q{i} alpha beta") for i in range(9)]

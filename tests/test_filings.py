@@ -8,6 +8,7 @@ from quarterdeck import schemas
 from quarterdeck.operators import filing_periods as fp
 from quarterdeck.operators import scale_repair as scale
 from quarterdeck.operators.tag_merge import first_source_wins
+from quarterdeck.session import ROWS_PER_FILE, cut_lineage
 from quarterdeck.sources.filings import flatten_submissions, read_company_facts
 
 from tests.conftest import rows
@@ -74,6 +75,27 @@ def test_a_million_filings_of_one_end(spark):
     assert rows(out, "value", "filed") == [(best[2], best[1])]
 
 
+def test_a_cut_deals_a_frame_that_grew_out_of_few_rows(spark):
+    grown = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(3 * ROWS_PER_FILE))).alias("n"), F.lit("x").alias("t"))
+    cut = cut_lineage(grown.coalesce(1))
+    per_file = cut.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(per_file) == 3 and {r["count"] for r in per_file} == {ROWS_PER_FILE}
+    assert cut.schema.simpleString() == grown.schema.simpleString()
+    assert cut.agg(F.sum("n")).first()[0] == 3 * ROWS_PER_FILE * (3 * ROWS_PER_FILE + 1) // 2
+
+
+def test_ladders_are_dealt_over_tasks_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(fp, "TASK_ROWS", 40)
+    starts = [date(2020, 1, 1), date(2020, 4, 1), date(2020, 7, 1), date(2020, 10, 1)]
+    ends = [date(2020, 3, 31), date(2020, 6, 30), date(2020, 9, 30), date(2020, 12, 31)]
+    ladder = [(starts[0], e, 10.0 * (i + 1) ** 2, date(2021, 2, 1)) for i, e in enumerate(ends)]
+    data = [("A", f"T{t}", "USD", 0, i, s, e, v + t, f, "Q1", 2020, "10-Q", "a")
+            for t in range(300) for i, (s, e, v, f) in enumerate(ladder)]
+    out = fp.tag_series(spark.createDataFrame(data, schemas.RAW_FACTS), "quarterly", False)
+    assert rows(out.filter("tag = 'T7'"), "end", "value") == list(zip(ends, [17.0, 30.0, 50.0, 70.0]))
+    assert out.count() == 1200 and out.select(F.spark_partition_id()).distinct().count() > 20
+
+
 def test_sixteen_week_quarters_need_three_of_a_kind(spark):
     def ladder(year, spans):
         start, items, total = date(year, 1, 1), [], 0.0

@@ -1,6 +1,8 @@
 """Near copies: texts whose sets of shingles have a Jaccard similarity of at least 0.8.
 
-The search is exact.  Shingles have one order for the whole table, those frequent in a sample
+First come the pairs that op4's search has: SimHash fingerprints of the sets, found through its table
+of distances to reference fingerprints.  Their links are verified on the sets.  Four bits do not reach
+down to 0.8, so a second search finds what lies beyond; with it the result is exact.  Shingles have one order for the whole table, those frequent in a sample
 of the texts last.  Two sets of a similarity s share one of the first n - ceil(s n) + 1 shingles
 in that order, n being the size of either set; so these are the keys.  Up to the last key
 that two sets share, all they have in common are shared keys, and behind it no more than the
@@ -8,12 +10,14 @@ smaller rest; pairs that this bound does not rule out are verified on the sets t
 Which shingles the sample holds changes the work, not the result.
 
 A key shared by many near copies of one text would make all pairs of them.  So each member of
-a key is first compared with the key's least member alone; then, with the components that
-these links make, only pairs that are still in different components are compared.
+a key is first compared with one hub alone, the member with most shingles from the key on (an edited
+copy has shingles of its own, which stand before it); then, with the components that these links and
+the fingerprints' make, only pairs that are still in different components are compared.
 
 Before whole sets are compared, a pair's bitmaps are: every shingle sets one of about four bits a
 shingle, and a bit that only one set has stands for a shingle that the other lacks.  So
-texts travel for pairs that are most likely links.
+texts travel for pairs that are most likely links.  Members of a key that are still apart are
+compared by bitmaps where the key is, and only pairs that may be links leave the task.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.llm import simhash_dedup
 from quarterdeck.llm.components import connected_components
 from quarterdeck.llm.scratch import Scratch, whole_text
-from quarterdeck.llm.simhash_dedup import SEED, shingle_spans
+from quarterdeck.llm.simhash_dedup import SEED, majority, shingle_spans
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -40,8 +45,11 @@ OFTEN = 3
 MOST_FREQUENT = 500_000
 #: bits of the table that tells which doc_ids may be among those wanted
 TABLE_BITS = 24
-#: members of a key that are compared in one go
+#: bits by which fingerprints that op4's search finds may differ
+RADIUS = simhash_dedup.RADIUS
+#: members of a key that are compared in one go, and pairs whose bitmaps are
 CHUNK = 1024
+PAIRS = 1 << 14
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -75,6 +83,40 @@ def most_shared(one: bytes, n: int, two: bytes, m: int) -> int:
     return min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
 
 
+class Bitmaps:
+    """Bitmaps of a key's members, by their length; compares many pairs at once."""
+
+    def __init__(self, bits: np.ndarray):
+        self.width = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.row, self.tables = np.zeros(len(bits), np.int64), {}
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.row[own] = np.arange(len(own))
+            self.tables[width] = np.frombuffer(b"".join(bits[own]), np.uint8).reshape(-1, width)
+
+    def folded(self, members: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(members), width), np.uint8)
+        for own in np.unique(self.width[members]).tolist():
+            here = np.flatnonzero(self.width[members] == own)
+            table = self.tables[own][self.row[members[here]]]
+            while table.shape[1] > width:
+                table = table[:, :table.shape[1] // 2] | table[:, table.shape[1] // 2:]
+            out[here] = table
+        return out.view(np.uint64) if width % 8 == 0 else out
+
+    def most_shared(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """How many shingles the sets of members i and j, of n and m shingles, share at most."""
+        most, widths = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for width in np.unique(widths).tolist():
+            same = np.flatnonzero(widths == width)
+            for at in range(0, len(same), PAIRS):
+                part = same[at:at + PAIRS]
+                x, y = self.folded(i[part], width), self.folded(j[part], width)
+                lone = [np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64) for a, b in ((x, y), (y, x))]
+                most[part] = np.minimum(n[part] - lone[0], m[part] - lone[1])
+        return most
+
+
 def required(sizes, similarity: float):
     """Shingles that sets of these sizes together share, at least."""
     return np.ceil(similarity * sizes / (1 + similarity) - 1e-9)
@@ -107,7 +149,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def with_keys(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, node, size and bitmap of its set, keys in order."""
+    """doc_id, node, size, bitmap and fingerprint of its set, keys in order."""
     often, counts = frequent_shingles(docs, words)
 
     def keys(shingles: np.ndarray) -> np.ndarray:
@@ -123,10 +165,24 @@ def with_keys(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array([node_of(s) for s in sets], np.uint64).view(np.int64)),
                  pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap_of(s) for s in sets], pa.binary()),
-                 pa.array([keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "size", "bits", "keys"])
+                 pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
+                 pa.array([keys(s) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "node", "size", "bits", "fingerprint", "keys"])
 
     return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(
-        spell, "doc_id long, node long, size int, bits binary, keys array<long>")
+        spell, "doc_id long, node long, size int, bits binary, fingerprint long, keys array<long>")
+
+
+def by_fingerprint(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes that op4's search links: each with the least of its fingerprint, and
+    those with the nodes that links between fingerprints lead to."""
+    prints = scratch.write(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "fingerprints")
+    first = lambda side: prints.select(F.col("fingerprint").alias(side), F.col("first").alias(f"_{side}"))
+    between = simhash_dedup.links(prints, prints.count(), radius).join(first("a"), "a").join(first("b"), "b").select(
+        F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = nodes.select("fingerprint", "node").join(prints, "fingerprint").filter("first <> node").select(
+        F.col("first").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(same).filter("a <> b").select(*ordered("a", "b"))
 
 
 def runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -161,11 +217,14 @@ def not_ruled_out(keyed: DataFrame, similarity: float) -> DataFrame:
 
 
 def shared_keys(prints: DataFrame) -> DataFrame:
-    """key, node, size, place, of keys with several nodes, and the least node with its size and place."""
+    """key, node, size, place, of keys with several nodes, and a hub with its size and place: the node with
+    most shingles from the key on."""
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bounds, (key, node, size, place) in runs(batches, "node", "size", "place"):
             starts, lengths = bounds[:-1], np.diff(bounds)
-            hubs = np.repeat(starts, lengths)  # rows are in order of key and node
+            left = size - place  # rows are in order of key and node
+            most = np.repeat(np.maximum.reduceat(left, starts), lengths)
+            hubs = np.repeat(np.minimum.reduceat(np.where(left == most, np.arange(len(left)), len(left)), starts), lengths)
             several = np.repeat(node[starts] != node[starts + lengths - 1], lengths)
             kept = np.flatnonzero(several & np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))))
             hubs = hubs[kept]
@@ -179,10 +238,12 @@ def shared_keys(prints: DataFrame) -> DataFrame:
 
 
 def pairs_within(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a key's members that have different roots and are not ruled out."""
+    """Pairs (a, b) of a key's members that have different roots and are ruled out neither by sizes and
+    places nor by their bitmaps."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bounds, (key, node, root, size, place) in runs(batches, "node", "root", "size", "place"):
+        for bounds, (key, node, root, size, place, bits) in runs(batches, "node", "root", "size", "place", "bits"):
             for a, b in zip(bounds, bounds[1:]):
+                bitmaps = None
                 for left in range(a, b, CHUNK):
                     x = slice(left, min(left + CHUNK, b))
                     for right in range(left, b, CHUNK):
@@ -192,14 +253,20 @@ def pairs_within(members: DataFrame, similarity: float) -> DataFrame:
                         if left == right:
                             i, j = i[i < j], j[i < j]
                         i, j = i + left, j + right
+                        if not len(i):
+                            continue
+                        bitmaps = bitmaps or Bitmaps(bits[a:b])
+                        n, m = size[i].astype(np.int64), size[j].astype(np.int64)
+                        likely = np.flatnonzero(bitmaps.most_shared(i - a, j - a, n, m) >= required(n + m, similarity))
+                        i, j = i[likely], j[likely]
                         i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
                         if len(i):
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(c) for c in (node[i], node[j], size[i], place[i], size[j], place[j])],
                                 ["a", "b", "n", "at", "m", "bt"])
 
-    return members.select("key", "node", "root", "size", "place").repartition("key").sortWithinPartitions("key").mapInArrow(
-        pairs, "a long, b long, n int, at int, m int, bt int")
+    return members.select("key", "node", "root", "size", "place", "bits").repartition("key").sortWithinPartitions(
+        "key").mapInArrow(pairs, "a long, b long, n int, at int, m int, bt int")
 
 
 def with_suspicion(rows: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
@@ -259,25 +326,34 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, si
     return links
 
 
+def ordered(one: str, two: str) -> tuple[Column, Column]:
+    return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
+
+
 def classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """doc_id, node, component_id of every row with a doc_id."""
     scratch = Scratch(docs.sparkSession, "nearcopies")
     prints = scratch.write(with_keys(docs, words, similarity), "prints")
     nodes = scratch.write(prints.groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits")), "nodes")
+        F.min("doc_id").alias("least_id"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits"),
+        F.any_value("fingerprint").alias("fingerprint")), "nodes")
     shared = scratch.write(shared_keys(prints), "shared")
-    # a node is first compared with one hub, that with which it shares most keys; what this leaves
-    # out, and what the bound leaves out by counting a hub's own keys alone, comes back below
-    to_hub = shared.filter("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(
-        F.count(F.lit(1)).alias("n"))
-    tried = scratch.write(to_hub.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "first_pairs")
+    # a node is first compared with those that op4's search finds and with one hub, that with which it
+    # shares most keys; what this leaves out, and what the bound leaves out by counting a hub's own keys
+    # alone, comes back below
+    to_hub = shared.filter("node <> hub").groupBy(F.col("hub"), F.col("node")).agg(F.count(F.lit(1)).alias("n")).groupBy(
+        "node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(*ordered("hub", "node"))
+    tried = scratch.write(by_fingerprint(nodes, RADIUS, scratch).unionByName(to_hub).distinct(), "first_pairs")
     first = verified(tried, docs, nodes, words, similarity, scratch, "first")
     roots = scratch.write(connected_components(first), "roots")
     # then with its other hubs, as far as they are in other components
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    low = lambda of_hub, own: F.when(F.col("hub") < F.col("node"), F.col(of_hub)).otherwise(F.col(own))
+    high = lambda of_hub, own: low(own, of_hub)
     apart = shared.filter("node <> hub").select(
-        F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_size").alias("n"), F.col("hub_place").alias("at"),
-        F.col("size").alias("m"), F.col("place").alias("bt")).join(root_of("a"), "a", "left").join(
+        low("hub", "node").alias("a"), high("hub", "node").alias("b"), low("hub_size", "size").alias("n"),
+        low("hub_place", "place").alias("at"), high("hub_size", "size").alias("m"),
+        high("hub_place", "place").alias("bt")).join(root_of("a"), "a", "left").join(
         root_of("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)")
     hubs = scratch.write(not_ruled_out(apart, similarity).join(tried, ["a", "b"], "left_anti"), "hub_pairs")
     first = first.unionByName(verified(hubs, docs, nodes, words, similarity, scratch, "hub"))
@@ -287,7 +363,8 @@ def classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         "root", F.coalesce("root", "node"))
     split = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).filter(
         "least <> greatest").select("key")
-    others = scratch.write(not_ruled_out(pairs_within(rooted.join(split, "key", "left_semi"), similarity), similarity).join(
+    members = rooted.join(split, "key", "left_semi").join(nodes.select("node", "bits"), "node")
+    others = scratch.write(not_ruled_out(pairs_within(members, similarity), similarity).join(
         tried, ["a", "b"], "left_anti"), "second_pairs")
     scratch.drop("shared")
     second = verified(others, docs, nodes, words, similarity, scratch, "second")

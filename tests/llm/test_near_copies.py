@@ -2,6 +2,7 @@ import numpy as np
 
 import corpus_pipeline
 from quarterdeck.llm import near_copies
+from quarterdeck.llm.scratch import Scratch
 from tests.llm.helpers import docs, invented, rng, words
 
 
@@ -87,3 +88,47 @@ def test_bitmaps_never_rule_out_what_sets_share():
         two = np.unique(np.concatenate((kept, r.integers(0, 1 << 63, int(r.integers(0, 400))).astype(np.uint64))))
         bound = near_copies.most_shared(near_copies.bitmap_of(one), len(one), near_copies.bitmap_of(two), len(two))
         assert len(np.intersect1d(one, two)) <= bound <= min(len(one), len(two))
+
+
+def test_bitmaps_of_many_pairs_tell_the_same_as_of_one():
+    r = rng()
+    sets = [np.unique(r.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in r.integers(0, 300, 20)]
+    sets += [np.unique(np.concatenate((s[: len(s) // 2], sets[0]))) for s in sets]
+    bits = np.array([near_copies.bitmap_of(s) for s in sets], object)
+    sizes = np.array([len(s) for s in sets])
+    i, j = np.nonzero(np.ones((len(sets), len(sets)), bool))
+    got = near_copies.Bitmaps(bits).most_shared(i, j, sizes[i], sizes[j])
+    assert got.tolist() == [near_copies.most_shared(bits[a], sizes[a], bits[b], sizes[b]) for a, b in zip(i, j)]
+
+
+def test_a_group_that_stays_apart_makes_few_pairs(spark):
+    """Copies of one text with other edits each share keys, but no two reach the similarity."""
+    r = rng()
+    base, texts = invented(r, 150).split(), []
+    for k in range(120):
+        own = list(base)
+        for at in r.choice(150, 6, replace=False):
+            own[at] = f"new{k}-{at}"
+        texts.append(" ".join(own))
+    expected = slow_classes(dict(enumerate(texts)))
+    assert len(set(expected.values())) > 100
+    table = docs(spark, texts)
+    prints = near_copies.with_keys(table, 5, 0.8).cache()
+    members = near_copies.shared_keys(prints).selectExpr("key", "node", "node AS root", "size", "place").join(
+        prints.select("node", "bits"), "node")
+    # all pairs of the group are 7,140, each under many keys
+    assert near_copies.pairs_within(members, 0.8).select("a", "b").distinct().count() < 200
+    assert dict(near_copies.near_copies(table).collect()) == expected
+
+
+def test_first_pairs_are_those_of_the_distance_tables(spark):
+    r = rng()
+    base = invented(r, 400).split()
+    texts = [" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(reversed(base)), invented(r, 300), ""]
+    prints = near_copies.with_keys(docs(spark, texts), 5, 0.8)
+    of_doc = {x.doc_id: x for x in prints.collect()}
+    close = {tuple(sorted((of_doc[a].node, of_doc[b].node))) for a in of_doc for b in of_doc if a < b and (
+        (of_doc[a].fingerprint ^ of_doc[b].fingerprint) & (1 << 64) - 1).bit_count() <= near_copies.RADIUS}
+    nodes = prints.select("node", "fingerprint").distinct()
+    found = near_copies.by_fingerprint(nodes, near_copies.RADIUS, Scratch(spark, "test"))
+    assert close and {tuple(x) for x in found.collect()} == close

@@ -89,6 +89,14 @@ def published_frames(result: Calculated, profiles: DataFrame, hidden: DataFrame
     }
 
 
+def written_once(frames: dict[str, DataFrame], profiles: DataFrame) -> dict[str, DataFrame]:
+    """The same frames for ``publish``, which reads each twice: the dear ones are cut, what counts them reads the cut."""
+    frames = frames | {name: cut_lineage(frames[name]) for name in ("facts_full", "current_snapshot")}
+    growth = growth_export(frames["facts_full"])
+    return frames | {"facts_growth": growth, "universe": cut_lineage(
+        universe(frames["metrics_long"], frames["valuation_history"], growth, profiles))}
+
+
 def refresh(inputs: Inputs, root: str, run_id: str, as_of) -> dict:
     """Run the whole job and publish it; returns the manifest."""
     started = datetime.now()
@@ -111,11 +119,7 @@ def refresh(inputs: Inputs, root: str, run_id: str, as_of) -> dict:
     result = calculate(facts, inputs.price_history, inputs.quotes, inputs.profiles, as_of,
                        shares_basis(readable, sources), inputs.submissions)
     frames = published_frames(result, inputs.profiles, registry.hidden_frame(spark))
-    frames["facts_full"] = cut_lineage(frames["facts_full"])
-    frames["facts_growth"] = growth_export(frames["facts_full"])
-    frames["universe"] = universe(frames["metrics_long"], frames["valuation_history"],
-                                  frames["facts_growth"], inputs.profiles)
-    return publish(frames, companies, root, run_id, started)
+    return publish(written_once(frames, inputs.profiles), companies, root, run_id, started)
 
 
 def as_of_snapshots(result: Calculated, price_history: DataFrame, cutoffs: list[str],

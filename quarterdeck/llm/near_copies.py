@@ -16,8 +16,9 @@ the fingerprints' make, only pairs that are still in different components are co
 
 Before whole sets are compared, a pair's bitmaps are: every shingle sets one of about four bits a
 shingle, and a bit that only one set has stands for a shingle that the other lacks.  So
-texts travel for pairs that are most likely links.  Members of a key that are still apart are
-compared by bitmaps where the key is, and only pairs that may be links leave the task.
+texts travel for pairs that are most likely links.  Members of a key that are still apart leave
+its task as pairs where these are few for the members; only for the other keys do bitmaps travel to
+the key, folded to a bounded length, and pairs that may be links leave the task.
 """
 
 from __future__ import annotations
@@ -50,6 +51,9 @@ RADIUS = simhash_dedup.RADIUS
 #: members of a key that are compared in one go, and pairs whose bitmaps are
 CHUNK = 1024
 PAIRS = 1 << 14
+#: pairs that a key sends for each member before bitmaps come to it instead, and bytes of such a bitmap at most
+PAIRS_A_MEMBER = 8
+BITMAP_BYTES = 1 << 11
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -237,6 +241,67 @@ def shared_keys(prints: DataFrame) -> DataFrame:
         members, "key long, node long, size int, place int, hub long, hub_size int, hub_place int")
 
 
+def pairs_apart(a: int, b: int, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray,
+                similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of members a to b of a key that have different roots and that sizes and places do not
+    rule out, the lesser node first."""
+    for left in range(a, b, CHUNK):
+        x = slice(left, min(left + CHUNK, b))
+        for right in range(left, b, CHUNK):
+            y = slice(right, min(right + CHUNK, b))
+            i, j = np.nonzero((root[x, None] != root[None, y]) & may_reach(
+                size[x, None], place[x, None], size[None, y], place[None, y], similarity))
+            if left == right:
+                i, j = i[i < j], j[i < j]
+            i, j = i + left, j + right
+            if len(i):
+                yield np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+
+
+def few_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a key's members that have different roots and that sizes and places do not rule out,
+    of keys with ``PAIRS_A_MEMBER`` of them for each member at most; of other keys, marked ``many``, the members:
+    key, and as a, b, n, at their node, root, size and place."""
+    kinds = (np.bool_, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
+    names = ["many", "key", "a", "b", "n", "at", "m", "bt"]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bounds, (key, node, root, size, place) in runs(batches, "node", "root", "size", "place"):
+            rows = []
+            # a key whose members have one root has no pairs
+            apart = np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1])
+            for a, b in zip(bounds[:-1][apart].tolist(), bounds[1:][apart].tolist()):
+                found, number, none = [], 0, np.zeros(b - a, np.int32)
+                for i, j in pairs_apart(a, b, node, root, size, place, similarity):
+                    number += len(i)
+                    if number > PAIRS_A_MEMBER * (b - a):
+                        own = slice(a, b)
+                        found = [(none + 1, key[own], node[own], root[own], size[own], place[own], none, none)]
+                        break
+                    found.append((np.zeros(len(i)), key[i], node[i], node[j], size[i], place[i], size[j], place[j]))
+                rows += found
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(zip(*rows), kinds)], names)
+
+    return members.select("key", "node", "root", "size", "place").repartition("key").sortWithinPartitions(
+        "key").mapInArrow(pairs, "many boolean, key long, a long, b long, n int, at int, m int, bt int")
+
+
+def folded_bitmaps(nodes: DataFrame) -> DataFrame:
+    """node and bits, bitmaps of more than ``BITMAP_BYTES`` folded to that length."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(1).to_pylist()
+            for at, table in enumerate(bits):
+                if len(table) > BITMAP_BYTES:
+                    parts = np.frombuffer(table, np.uint8).reshape(-1, BITMAP_BYTES)
+                    bits[at] = np.bitwise_or.reduce(parts, axis=0).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["node", "bits"])
+
+    return nodes.select("node", "bits").mapInArrow(fold, "node long, bits binary")
+
+
 def pairs_within(members: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of a key's members that have different roots and are ruled out neither by sizes and
     places nor by their bitmaps."""
@@ -244,26 +309,15 @@ def pairs_within(members: DataFrame, similarity: float) -> DataFrame:
         for bounds, (key, node, root, size, place, bits) in runs(batches, "node", "root", "size", "place", "bits"):
             for a, b in zip(bounds, bounds[1:]):
                 bitmaps = None
-                for left in range(a, b, CHUNK):
-                    x = slice(left, min(left + CHUNK, b))
-                    for right in range(left, b, CHUNK):
-                        y = slice(right, min(right + CHUNK, b))
-                        i, j = np.nonzero((root[x, None] != root[None, y]) & may_reach(
-                            size[x, None], place[x, None], size[None, y], place[None, y], similarity))
-                        if left == right:
-                            i, j = i[i < j], j[i < j]
-                        i, j = i + left, j + right
-                        if not len(i):
-                            continue
-                        bitmaps = bitmaps or Bitmaps(bits[a:b])
-                        n, m = size[i].astype(np.int64), size[j].astype(np.int64)
-                        likely = np.flatnonzero(bitmaps.most_shared(i - a, j - a, n, m) >= required(n + m, similarity))
-                        i, j = i[likely], j[likely]
-                        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-                        if len(i):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(c) for c in (node[i], node[j], size[i], place[i], size[j], place[j])],
-                                ["a", "b", "n", "at", "m", "bt"])
+                for i, j in pairs_apart(a, b, node, root, size, place, similarity):
+                    bitmaps = bitmaps or Bitmaps(bits[a:b])
+                    n, m = size[i].astype(np.int64), size[j].astype(np.int64)
+                    likely = np.flatnonzero(bitmaps.most_shared(i - a, j - a, n, m) >= required(n + m, similarity))
+                    i, j = i[likely], j[likely]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c) for c in (node[i], node[j], size[i], place[i], size[j], place[j])],
+                            ["a", "b", "n", "at", "m", "bt"])
 
     return members.select("key", "node", "root", "size", "place", "bits").repartition("key").sortWithinPartitions(
         "key").mapInArrow(pairs, "a long, b long, n int, at int, m int, bt int")
@@ -284,8 +338,15 @@ def with_suspicion(rows: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
         "_suspect", hit & F.col(doc_id).isNotNull()).drop("_word", "_place", "_bits")
 
 
+def among(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes without most of those that are not ``wanted``; nothing is shuffled for it."""
+    return with_suspicion(nodes, wanted.select(F.col("node").alias("doc_id")), "node").filter("_suspect").drop("_suspect")
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs of nodes that their bitmaps do not rule out."""
+    nodes = among(nodes.select("node", "bits", "size"), pairs.select(F.explode(F.array("a", "b")).alias("node")))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
@@ -361,12 +422,14 @@ def classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     roots = scratch.write(connected_components(first), "roots_of_hubs")
     rooted = shared.select("key", "node", "size", "place").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).filter(
-        "least <> greatest").select("key")
-    members = rooted.join(split, "key", "left_semi").join(nodes.select("node", "bits"), "node")
-    others = scratch.write(not_ruled_out(pairs_within(members, similarity), similarity).join(
-        tried, ["a", "b"], "left_anti"), "second_pairs")
+    few = scratch.write(few_pairs(rooted, similarity), "few_pairs", "many")
+    many = few.filter("many").selectExpr("key", "a AS node", "b AS root", "n AS size", "at AS place")
+    members = many.join(folded_bitmaps(among(nodes.select("node", "bits"), many)), "node")
+    # a pair may share keys of both kinds
+    keyed = few.filter("NOT many").select("a", "b", "n", "at", "m", "bt").unionByName(pairs_within(members, similarity))
+    others = scratch.write(not_ruled_out(keyed, similarity).join(tried, ["a", "b"], "left_anti"), "second_pairs")
     scratch.drop("shared")
+    scratch.drop("few_pairs")
     second = verified(others, docs, nodes, words, similarity, scratch, "second")
     scratch.drop("second_pairs")
     roots = connected_components(first.unionByName(second))

@@ -132,3 +132,28 @@ def test_first_pairs_are_those_of_the_distance_tables(spark):
     nodes = prints.select("node", "fingerprint").distinct()
     found = near_copies.by_fingerprint(nodes, near_copies.RADIUS, Scratch(spark, "test"))
     assert close and {tuple(x) for x in found.collect()} == close
+
+
+def test_keys_with_few_pairs_send_no_bitmaps(spark, monkeypatch):
+    """Long texts that share a passage and stay apart: every key has two or three members."""
+    r = rng()
+    texts = []
+    for _ in range(6):
+        passage = invented(r, 60, 10 ** 6)
+        texts += [f"{passage} {invented(r, int(n), 10 ** 6)}" for n in (300, 310, 320)]
+    table, seen, within = docs(spark, texts), [], near_copies.pairs_within
+
+    def counted(members, similarity):
+        seen.append(members.count())
+        return within(members, similarity)
+
+    monkeypatch.setattr(near_copies, "pairs_within", counted)
+    expected = slow_classes(dict(enumerate(texts)))
+    assert dict(near_copies.near_copies(table).collect()) == expected and seen == [0]
+
+
+def test_keys_with_many_pairs_are_compared_by_folded_bitmaps(spark, monkeypatch):
+    texts = dict(enumerate(corpus()))
+    monkeypatch.setattr(near_copies, "PAIRS_A_MEMBER", 0)
+    monkeypatch.setattr(near_copies, "BITMAP_BYTES", 16)
+    assert dict(near_copies.near_copies(docs(spark, texts)).collect()) == slow_classes(texts)

@@ -76,3 +76,20 @@ def test_dear_frames_are_cut_before_they_are_published(spark):
         assert all("cut-" in f for f in frames[name].inputFiles())
     assert sorted(frames["universe"].collect()) == sorted(lazy["universe"].collect())
     assert set(frames) == set(lazy)
+
+
+def test_the_wide_frame_reads_facts_twice(spark):
+    """Once for period ends and the number of rows, once for the rows."""
+    facts, read = odd_facts(spark), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    prices = spark.createDataFrame([("A", date(2018, 1, 2), 5.0), ("B", date(2019, 1, 2), None)], "ticker string, date date, close double")
+    seen = facts.mapInArrow(counted, facts.schema)
+    got = wide.build_wide(seen, prices).collect()
+    assert read.value == 2 * facts.count()
+    assert {(x.ticker, x.end) for x in got} == {(x.ticker, x.end) for x in facts.collect()}
+    assert [x._close for x in got if x.ticker == "A" and x.end] == [5.0] * sum(x.ticker == "A" and x.end is not None for x in got)

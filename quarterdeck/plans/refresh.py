@@ -74,7 +74,11 @@ def calculate(facts: DataFrame, price_history: DataFrame, quotes: DataFrame,
 
 def published_frames(result: Calculated, profiles: DataFrame, hidden: DataFrame
                      ) -> dict[str, DataFrame]:
-    """Visible rows only; growth is added to the facts that are left."""
+    """Visible rows only; growth is added to the facts that are left.
+
+    Profiles are cut: they are read once a frame and more, and long rows need not travel to meet a table known to be small.
+    """
+    profiles = cut_lineage(profiles)
     metrics = drop_hidden(result.metrics, profiles, hidden)
     history = drop_hidden(result.valuation, profiles, hidden)
     facts = add_growth_column(drop_hidden(result.facts, profiles, hidden))

@@ -144,3 +144,37 @@ def test_one_company_opens_few_files(spark, tmp_path):
     for part in whole.rdd.glom().collect():
         keys = [(r.ticker, r.concept, r.end) for r in part]
         assert keys == sorted(keys)
+
+
+def test_rows_do_not_travel_to_meet_hidden_names(spark, capsys):
+    from quarterdeck.operators.visibility import drop_hidden
+    from quarterdeck.session import cut_lineage
+
+    facts = cut_lineage(spark.createDataFrame([(t, c, v) for v, (t, c) in enumerate(
+        (t, c) for t in ("A", "B", "Z", None) for c in ("x", "y", None))], "ticker string, concept string, value int"))
+    profiles = cut_lineage(spark.createDataFrame([("A", "bank"), ("B", None)], "ticker string, profile string"))
+    hidden = spark.createDataFrame([("bank", "x"), ("standard", "y"), ("bank", None)], "profile string, concept string")
+    shown = drop_hidden(facts, profiles, hidden)
+    assert rows(shown, "value") == [(v,) for v in sorted((1, 2, 3, 5, 6, 8, 9, 11), key=str)]
+    capsys.readouterr()
+    drop_hidden(facts, profiles, hidden).explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
+
+
+def test_published_rows_do_not_travel_to_meet_profiles(spark, capsys):
+    from quarterdeck.plans import refresh
+    from quarterdeck.session import cut_lineage
+
+    long = cut_lineage(spark.createDataFrame([(t, c, date(2020, 3, 31), 1.0) for t in ("A", "B", "Z") for c in ("x", "y")],
+                                             "ticker string, concept string, end date, value double"))
+    # Spark can only guess the size of a join
+    profiles = spark.createDataFrame([("A", 1), ("B", 2)], "ticker string, n int").join(
+        spark.createDataFrame([(1, "bank"), (2, "insurer")], "n int, profile string"), "n").select("ticker", "profile")
+    hidden = spark.createDataFrame([("bank", "x")], "profile string, concept string")
+    frames = refresh.published_frames(refresh.Calculated(long, long, long, long, long, long), profiles, hidden)
+    capsys.readouterr()
+    for name in ("metrics_long", "valuation_history", "current_snapshot"):
+        assert rows(frames[name], "ticker", "concept") == [("A", "y"), ("B", "x"), ("B", "y"), ("Z", "x"), ("Z", "y")]
+        frames[name].explain()
+        assert "Exchange hashpartitioning" not in capsys.readouterr().out
+    assert rows(frames["universe"], "ticker", "profile", "n_metrics") == [("A", "bank", 1), ("B", "insurer", 2), ("Z", "standard", 2)]
